@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, language_id, license_scan, mixing, topk, url_filter
+from . import bpe, chat_format, fingerprint, jaccard_join, language_id, license_scan, mixing, substring_dedup, topk, url_filter
 from .storage import Workspace
 
 #: op9's rules: (action, host, path).
@@ -32,11 +32,21 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op3"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Workspace(spark, "op4"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op5"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = F.array_min(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("d"), h["licence"].alias("l"))))
