@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .words import chunks, wider
+from .words import chunks, widened
 
 #: Encoded words that a worker keeps for its next texts; the memory for them is bounded by this.
 KEPT_WORDS = 200_000
@@ -172,12 +172,13 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, *, text: s
     ``ids`` are the text's token ids; ids_sha256 is the digest of them in decimal, joined by one space;
     decoded_sha256 that of the bytes the ids decode to. ``ids=False`` leaves the array out. Each match
     of ``pattern`` is encoded by itself, without special tokens. Null text counts as empty: no tokens.
-    Repeated rows are encoded alike; other columns stay. Rows go through one by one in bounded parts of
+    Repeated rows are encoded alike; other columns stay, but
+    for any of a result's name. Rows go through one by one in bounded parts of
     a scan, without a shuffle; the vocabulary, of fixed size, is sent to the executors once.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((dict(ranks), pattern))
-    schema = wider(docs, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string")
+    docs, schema = widened(docs, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*sent.value)

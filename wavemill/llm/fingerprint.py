@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import CHUNK_BYTES, chunks, text_bytes, wider
+from .words import CHUNK_BYTES, chunks, text_bytes, widened
 
 BUCKETS = 256
 # The byte positions, in a window of five, of the triplets that are counted.
@@ -83,7 +83,8 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
             made = encode(*digests(*text_bytes(part.column(text))))
             yield from part.append_column("fingerprint", pa.array(made, pa.string())).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, wider(docs, "fingerprint string"))
+    rows, schema = widened(docs, "fingerprint string", text)
+    return rows.mapInArrow(run, schema)
 
 
 def edited(text: str, after: str) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, mix, wider
+from .words import chunks, mix, widened
 
 #: Lengths of n-grams, in letters; any run of other characters is one boundary.
 SIZES = (3, 4)
@@ -173,13 +173,14 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Every input row with lang_pred and score; only ``text`` decides. No shuffle.
 
     Null texts and texts without a letter are ``und``; repeated rows get equal results; other columns
-    stay, and may not be called lang_pred or score.
+    stay, but for any called lang_pred or score, which the results replace.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows, schema = widened(docs, "lang_pred string, score double", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, text):
             langs, score = sent.value.predict(t.column(text).to_pylist())
             yield from t.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(score)).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, wider(docs, "lang_pred string, score double"))
+    return rows.mapInArrow(run, schema)

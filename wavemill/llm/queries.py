@@ -54,7 +54,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @cache
-def _vocabulary() -> tuple[dict[bytes, int], str]:
+def vocabulary() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
@@ -62,7 +62,7 @@ def _vocabulary() -> tuple[dict[bytes, int], str]:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, *_vocabulary(), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, *vocabulary(), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and "_" in k}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace
-from .words import chunks, mix, spans, text_bytes, wider, window_hashes, word_hashes
+from .words import chunks, mix, spans, text_bytes, widened, window_hashes, word_hashes
 
 WINDOW = 20
 GRAM = 8
@@ -213,8 +213,10 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
     ascending id, cut at quantiles, and each is checked against the index of those before it. Null
     ids come first; rows of one id go by a hash of their text, and rows equal in both are one
     document, listed more than once with one result. Null and empty texts have no words; a null text
-    stays null. Other columns stay; n_words, n_removed and kept_sha256 may not be among them.
+    stays null. Other columns stay, but for any named like a result.
     """
+    docs, schema = widened(docs, "n_words long, n_removed long, kept_sha256 string", doc_id, text)
+    columns = docs.columns
     key = {"d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "k": F.xxhash64(F.col(text))}
     slim = docs.select(*[v.alias(n) for n, v in key.items()], F.col(text).alias("text")).where(F.col(text).isNotNull())
     cuts = slim.select(F.percentile_approx("d", [i / batches for i in range(1, batches)], F.lit(10_000))).first()[0] if batches > 1 else None
@@ -228,8 +230,6 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
         found = r if found is None else found.unionByName(r)
     gone = found.groupBy(F.col("d").alias("_dedup_d"), F.col("k").alias("_dedup_k")).agg(F.flatten(F.collect_list("starts")).alias("_dedup_starts"), F.flatten(F.collect_list("counts")).alias("_dedup_counts"))
     x = docs.join(gone, (key["d"] == F.col("_dedup_d")) & (key["k"] == F.col("_dedup_k")), "left").drop("_dedup_d", "_dedup_k")
-    schema = wider(docs, "n_words long, n_removed long, kept_sha256 string")
-    columns = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(parts, text):

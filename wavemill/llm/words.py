@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are hashed at once; working memory is about 40 times that.
@@ -31,12 +32,17 @@ _Q = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _powers: dict[int, np.ndarray] = {}
 
 
-def wider(df: DataFrame, columns: str) -> T.StructType:
-    """The schema of ``df`` with more columns (DDL), which it must not have yet."""
+def widened(df: DataFrame, columns: str, *needed: str) -> tuple[DataFrame, T.StructType]:
+    """``df`` without columns named like the new ``columns`` (DDL), and its schema with them.
+
+    A result so replaces a column of its name; a column that is ``needed`` as input cannot go.
+    """
     more = T.StructType.fromDDL(columns).fields
-    if clash := {f.name.lower() for f in more} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has the column {', '.join(sorted(clash))}")
-    return T.StructType(df.schema.fields + more)
+    names = {f.name.lower() for f in more}
+    if clash := names & {c.lower() for c in needed}:
+        raise ValueError(f"an input column is named like a result: {', '.join(sorted(clash))}")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    return df, T.StructType(df.schema.fields + more)
 
 
 def _power(base: int, n: int) -> np.ndarray:
