@@ -7,8 +7,8 @@ is an anchor. Per batch of documents:
 
 1. anchors are merged with the index's sorted runs of anchors. An anchor that is new is kept as a
    single; one that occurs again exposes its windows, and those of the single that it meets;
-2. exposed windows get two independent 64-bit hashes, and are merged with the index's runs of
-   windows by both, which verifies what anchors only suggest; all but the first of equal windows
+2. exposed windows get two independent hashes, of 64 and 32 bits, and are merged with the index's
+   runs of windows by both, which verifies what anchors only suggest; all but the first of equal windows
    are repeats, and their words go;
 3. the batch's anchors and first windows become new sorted runs; beyond FANOUT runs, all are
    compacted into one, a row a hash.
@@ -35,8 +35,8 @@ GRAM = 8
 SPAN = WINDOW - GRAM + 1
 FANOUT = 4
 LOWEST = -(2**63)
-ANCHORS = "h long, d long, k long, pos int, n int, more array<int>"
-WINDOWS = "w1 long, w2 long, d long, k long, pos int, starts array<int>, counts array<int>, new boolean"
+ANCHORS = "h long, d long, k int, pos int, n int, more array<int>"
+WINDOWS = "w1 long, w2 int, d long, k int, pos int, starts array<int>, counts array<int>, new boolean"
 
 
 def anchors(words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +71,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)))
 
 
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32) if x.dtype == np.uint64 else x.astype(np.int32))
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
@@ -90,10 +94,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.argsort(owner[rest], kind="stable")
         lists = np.split(pos[rest][by], np.searchsorted(owner[rest][by], docs)[1:]) if len(docs) else []
         own = owner[first]
-        yield pa.RecordBatch.from_arrays([_longs(h), _longs(d[own]), _longs(k[own]), pa.array(pos[first]), pa.array(np.minimum(count, 2).astype(np.int32)), pa.nulls(len(h), pa.list_(pa.int32()))], ["h", "d", "k", "pos", "n", "more"])
+        yield pa.RecordBatch.from_arrays([_longs(h), _longs(d[own]), _ints(k[own]), pa.array(pos[first]), pa.array(np.minimum(count, 2).astype(np.int32)), pa.nulls(len(h), pa.list_(pa.int32()))], ["h", "d", "k", "pos", "n", "more"])
         if len(docs):
             salt = mix(k[docs].astype(np.int64).view(np.uint64) ^ mix(d[docs].astype(np.int64).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([_longs(salt), _longs(d[docs]), _longs(k[docs]), pa.nulls(len(docs), pa.int32()), pa.array(np.zeros(len(docs), np.int32)), _lists(lists)], ["h", "d", "k", "pos", "n", "more"])
+            yield pa.RecordBatch.from_arrays([_longs(salt), _longs(d[docs]), _ints(k[docs]), pa.nulls(len(docs), pa.int32()), pa.array(np.zeros(len(docs), np.int32)), _lists(lists)], ["h", "d", "k", "pos", "n", "more"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +125,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[1:] = (w1[by][1:] != w1[by][:-1]) | (w2[by][1:] != w2[by][:-1])
         lead = by[np.flatnonzero(head)]
         later = key[by] > key[lead][np.cumsum(head) - 1] if len(by) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([_longs(w1[lead]), _longs(w2[lead]), _longs(d[owner[lead]]), _longs(k[owner[lead]]), pa.array(pos[lead].astype(np.int32)), pa.nulls(len(lead), pa.list_(pa.int32())), pa.nulls(len(lead), pa.list_(pa.int32())), pa.array(new[owner[lead]])], WINDOWS_NAMES)
+        yield pa.RecordBatch.from_arrays([_longs(w1[lead]), _ints(w2[lead]), _longs(d[owner[lead]]), _ints(k[owner[lead]]), pa.array(pos[lead].astype(np.int32)), pa.nulls(len(lead), pa.list_(pa.int32())), pa.nulls(len(lead), pa.list_(pa.int32())), pa.array(new[owner[lead]])], WINDOWS_NAMES)
         gone = np.sort(by[later])
         gone = gone[new[owner[gone]]]
         if len(gone):  # repeats that are certain already: runs of neighbouring windows, a row a document
@@ -132,7 +136,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, first = np.unique(owner[gone[b]], return_index=True)
             s, c = np.split(pos[gone[b]], first[1:]), np.split(count, first[1:])
             salt = mix(k[docs].astype(np.int64).view(np.uint64) ^ mix(d[docs].astype(np.int64).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([_longs(salt), _longs(np.full(len(docs), -1)), _longs(d[docs]), _longs(k[docs]), pa.array(np.full(len(docs), -1, np.int32)), _lists(s), _lists(c), pa.array(new[docs])], WINDOWS_NAMES)
+            yield pa.RecordBatch.from_arrays([_longs(salt), _ints(np.full(len(docs), -1)), _longs(d[docs]), _ints(k[docs]), pa.array(np.full(len(docs), -1, np.int32)), _lists(s), _lists(c), pa.array(new[docs])], WINDOWS_NAMES)
 
 
 WINDOWS_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
@@ -171,38 +175,41 @@ class FingerprintIndex:
             rows = one.select("w1", "w2", "m.d", "m.k", "m.pos").sortWithinPartitions("w1", "w2")
         self.runs[kind] = [self.ws.save(rows, f"compacted-{kind}-{self.made}")]
 
-    def repeats(self, docs: DataFrame, past: DataFrame | None, name: str) -> DataFrame:
-        """d, k, starts, counts: runs of repeated windows of ``docs``, which the index takes in.
+    def repeats(self, docs: DataFrame, past: DataFrame | None, name: str, last: bool = False) -> DataFrame:
+        """d, k, starts, counts: a row a document, the runs of repeated windows of ``docs``.
 
-        ``docs`` and ``past`` (what the index has taken in before) have d, k, text. Windows of past
-        documents count as earlier.
+        ``docs`` and ``past`` (what the index has taken in before) have d, k, text; windows of past
+        documents count as earlier. The index takes ``docs`` in, unless this is the ``last`` batch.
         """
         ws = self.ws
-        rows = docs.mapInArrow(_anchor_rows, ANCHORS).withColumn("new", F.lit(True))
+        rows = docs.select("d", "k", "text").mapInArrow(_anchor_rows, ANCHORS).withColumn("new", F.lit(True))
         old = self.history("anchors")
         if old is not None:
             rows = rows.unionByName(old.withColumns({"more": F.lit(None).cast("array<int>"), "new": F.lit(False)}))
         by = Window.partitionBy("h")
         rows = rows.withColumn("all", F.sum("n").over(by)).withColumn("before", F.sum(F.when(~F.col("new"), F.col("n"))).over(by)).withColumn("fresh", F.max("new").over(by))
         met = (F.col("all") > 1) & (F.col("new") | (F.col("fresh") & (F.col("before") == 1)))
-        rows = rows.withColumn("hit", F.col("more").isNotNull() | met).where("new or hit").drop("all", "before", "fresh")
+        rows = rows.withColumn("hit", F.col("more").isNotNull() | met).where("hit" if last else "new or hit").drop("all", "before", "fresh")
         merged = ws.save(rows, f"{name}-anchors")
         ws.release()
-        self.add("anchors", merged.where("new and more is null").select("h", "d", "k", "pos", "n"))
+        if not last:
+            self.add("anchors", merged.where("new and more is null").select("h", "d", "k", "pos", "n"))
         hits = merged.where("hit").groupBy("d", "k").agg(F.flatten(F.collect_list(F.coalesce("more", F.array("pos")))).alias("hits"), F.max("new").alias("new"))
-        known = docs if past is None else docs.unionByName(past)
+        known = docs if past is None else past.unionByName(docs)
         found = known.join(hits, ["d", "k"]).select("d", "k", "text", "new", "hits").mapInArrow(_window_rows, WINDOWS).withColumn("old", F.lit(False))
         old = self.history("windows")
         if old is not None:
             none = F.lit(None).cast("array<int>")
             found = found.unionByName(old.withColumns({"starts": none, "counts": none, "new": F.lit(False), "old": F.lit(True)}))
         place = F.rank().over(Window.partitionBy("w1", "w2").orderBy(F.desc("old"), "new", "d", "k", "pos"))
-        found = found.withColumn("rank", place).where("not old and (rank = 1 or new)")
-        found = found.withColumn("repeat", F.col("starts").isNotNull() | (F.col("rank") > 1)).drop("old", "rank", "new")
+        found = found.withColumn("rank", place).withColumn("repeat", F.col("new") & (F.col("starts").isNotNull() | (F.col("rank") > 1)))
+        found = found.where("repeat" if last else "repeat or (rank = 1 and not old)").drop("old", "rank", "new")
         found = ws.save(found, f"{name}-windows")
         ws.release()
-        self.add("windows", found.where("not repeat").select("w1", "w2", "d", "k", "pos"))
-        return found.where("repeat").select("d", "k", F.coalesce("starts", F.array("pos")).alias("starts"), F.coalesce("counts", F.array(F.lit(1))).alias("counts"))
+        if not last:
+            self.add("windows", found.where("not repeat").select("w1", "w2", "d", "k", "pos"))
+        runs = found.where("repeat").select("d", "k", F.coalesce("starts", F.array("pos")).alias("s"), F.coalesce("counts", F.array(F.lit(1))).alias("c"))
+        return runs.groupBy("d", "k").agg(F.flatten(F.collect_list("s")).alias("starts"), F.flatten(F.collect_list("c")).alias("counts"))
 
 
 def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text: str = "text", batches: int = 2, cut: bool = False) -> DataFrame:
@@ -210,26 +217,36 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
 
     A word goes if a window that covers it has the same words as an earlier one: of a smaller id, or
     earlier in the same document. Windows are judged on the input. Documents come in ``batches`` by
-    ascending id, cut at quantiles, and each is checked against the index of those before it. Null
+    ascending id, cut at quantiles, and each is checked against the index of those before it. Whole
+    copies of an earlier text are set aside first: each of their windows is a repeat. Null
     ids come first; rows of one id go by a hash of their text, and rows equal in both are one
     document, listed more than once with one result. Null and empty texts have no words; a null text
     stays null. Other columns stay, but for any named like a result.
     """
     docs, schema = widened(docs, "n_words long, n_removed long, kept_sha256 string", doc_id, text)
     columns = docs.columns
-    key = {"d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "k": F.xxhash64(F.col(text))}
-    slim = docs.select(*[v.alias(n) for n, v in key.items()], F.col(text).alias("text")).where(F.col(text).isNotNull())
+    own = {"_dedup_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), "_dedup_k": F.hash(F.col(text)), "_dedup_t": F.md5(F.col(text))}
+    keyed = docs.withColumns(own)
+    first = keyed.groupBy("_dedup_t").agg(F.min(F.struct("_dedup_d", "_dedup_k")).alias("m"), F.count("*").alias("n")).where("n > 1 and _dedup_t is not null")
+    copies = keyed.select(*own).join(first, "_dedup_t").where(F.struct("_dedup_d", "_dedup_k") != F.col("m")).select("_dedup_d", "_dedup_k", F.lit(True).alias("_dedup_copy")).distinct()
+    rows = keyed.drop("_dedup_t").join(copies, ["_dedup_d", "_dedup_k"], "left")
+    rows = ws.save_bucketed(rows, "documents", "_dedup_d", "_dedup_k")
+    ws.release()
+    slim = rows.where(F.col(text).isNotNull() & F.col("_dedup_copy").isNull()).select(F.col("_dedup_d").alias("d"), F.col("_dedup_k").alias("k"), F.col(text).alias("text"))
     cuts = slim.select(F.percentile_approx("d", [i / batches for i in range(1, batches)], F.lit(10_000))).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
-    index, found = FingerprintIndex(ws), None
+    index, gone = FingerprintIndex(ws), None
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = slim if low is None else slim.where(F.col("d") > low)
         part = part if high is None else part.where(F.col("d") <= high)
         past = None if low is None else slim.where(F.col("d") <= low)
-        r = index.repeats(part, past, f"batch{i}")
-        found = r if found is None else found.unionByName(r)
-    gone = found.groupBy(F.col("d").alias("_dedup_d"), F.col("k").alias("_dedup_k")).agg(F.flatten(F.collect_list("starts")).alias("_dedup_starts"), F.flatten(F.collect_list("counts")).alias("_dedup_counts"))
-    x = docs.join(gone, (key["d"] == F.col("_dedup_d")) & (key["k"] == F.col("_dedup_k")), "left").drop("_dedup_d", "_dedup_k")
+        r = ws.save(index.repeats(part, past, f"batch{i}", last=high is None), f"repeats{i}")
+        gone = r if gone is None else gone.unionByName(r)
+    ws.drop(*[f"batch{i}-{kind}" for i in range(len(cuts) + 1) for kind in ("anchors", "windows")])
+    ws.release()
+    # An id and text has repeats in one batch only, so no copy of its row meets two.
+    gone = gone.toDF("_dedup_d", "_dedup_k", "_dedup_starts", "_dedup_counts")
+    x = rows.join(gone, ["_dedup_d", "_dedup_k"], "left").drop("_dedup_d", "_dedup_k")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(parts, text):
@@ -246,6 +263,8 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
                 else:
                     np.add.at(level, first + flat + WINDOW - 1, -1)
             gone = np.cumsum(level)[:-1] > 0
+            copy = pa.compute.fill_null(t.column("_dedup_copy"), False).to_numpy(zero_copy_only=False) & (np.diff(w) >= WINDOW)
+            gone |= np.repeat(copy, np.diff(w))
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w])
             digest, texts = [], []
             for i in range(t.num_rows):
