@@ -83,5 +83,76 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TIMES = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
+_ESCAPES = " + ".join(_TIMES.format("{0}", c, len(c)) for c in ("\\", "<s>", "</s>", "[INST]", "[/INST]"))
+
+
+def _op2_sql() -> str:
+    extra = "".join(f" UNION ALL SELECT -1, {i}, '{r}', '</s>[INST] ok [/INST]'" for i, r in enumerate(("user", "assistant")))
+    size = f"20 + length(role) + length(text) + {_ESCAPES.format('role')} + {_ESCAPES.format('text')}"
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations{extra}))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum({size}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+def _op3_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+    k AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS key, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, i + j AS i FROM r, (SELECT unnest(range(0, 20)) AS j)),
+    x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    y AS (SELECT x.doc_id AS doc_id, word, x.i AS i, gone.i IS NOT NULL AS g FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i)
+    SELECT d.doc_id AS doc_id, count(y.i) AS n_words, count(*) FILTER (g) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY y.i) FILTER (NOT g), '')) AS kept_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id GROUP BY d.doc_id"""
+
+
+def _op5_sql() -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS.format(_FOLD)}, []) AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT d.doc_id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def _op6_sql() -> str:
+    sets = [(k, license_scan.bigrams_of(v)) for k, v in sorted(license_scan.TEMPLATES.items())]
+    known = ", ".join(f"('{k}', {b})" for k, b in sets)
+    words = "regexp_extract_all({0}, '[A-Za-z0-9]+')"
+    return f"""WITH t AS (SELECT * FROM (VALUES {known}) t(name, b)), d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    s AS (SELECT doc_id, unnest(range(0, len(l))) AS no, unnest(l) AS seg FROM d UNION ALL SELECT doc_id, -1, text FROM d WHERE len(l) > 1 AND len({words.format("text")}) < 60),
+    w AS (SELECT doc_id, no, {words.format("seg")} AS w FROM s), p AS (SELECT doc_id, no, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: lower(w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 60),
+    m AS (SELECT doc_id, no, name, CAST(2 * len(list_intersect(list_distinct(g), b)) AS DOUBLE) / (n + len(b)) AS dice FROM p, t),
+    h AS (SELECT doc_id, no, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY dice DESC, name) AS r FROM m WHERE dice >= 0.75) WHERE r = 1),
+    a AS (SELECT doc_id, count(*) AS c, array_to_string(list_sort(list(DISTINCT name)), ',') AS names, first(name ORDER BY dice DESC, name) AS best, max(dice) AS dice FROM h GROUP BY doc_id)
+    SELECT d.doc_id AS doc_id, CAST(len(l) AS INTEGER) AS n_segments, CAST(coalesce(c, 0) AS INTEGER) AS n_hits, coalesce(names, '') AS licences, best AS best_licence, round(dice, 9) AS best_dice FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+def _op9_sql() -> str:
+    host = "translate(coalesce(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+    order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow"))
+    rule = "CASE " + " ".join(f"WHEN (h = '{h}' OR h LIKE '%.{h}') AND starts_with(p, '{p}') THEN '{a} {h}{p}'" for a, h, p in order) + " END"
+    link = "WHEN x.t LIKE '%://%' THEN " + f"{host.format('x.t')} || {path.format('x.t')} WHEN x.t LIKE '/%' AND NOT x.t LIKE '//%' THEN x.h || regexp_extract(x.t, '^([^?#]*)', 1)"
+    found = ", ".join("regexp_extract(html, '" + p.removeprefix("(?is)").replace("'", "''") + "', 1, 'si')" for p in (*url_filter.CANONICAL, url_filter.REFRESH))
+    return f"""WITH RECURSIVE x AS (SELECT {host.format("url")} AS h, {host.format("url")} || {path.format("url")} AS u, unnest([{found}]) AS t FROM pages WHERE lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'),
+    l AS (SELECT u, CASE {link} END AS v FROM x), e AS (SELECT u, v FROM l WHERE u <> '' AND v <> '' UNION SELECT v, u FROM l WHERE u <> '' AND v <> ''),
+    r AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
+    c AS (SELECT a, max(CASE WHEN o LIKE 'allow%' THEN 2 WHEN o LIKE 'block%' THEN 1 END) AS o FROM (SELECT a, (SELECT {rule} FROM (SELECT regexp_extract(b, '^([^/]*)', 1) AS h, substr(b, length(regexp_extract(b, '^([^/]*)', 1)) + 1) AS p)) AS o FROM r) GROUP BY a),
+    g AS (SELECT page_id, {host.format("url")} AS h, {path.format("url")} AS p FROM pages), k AS (SELECT page_id, h, p, {rule} AS o FROM g)
+    SELECT page_id, h AS host, p AS path, substr(k.o, 7) AS rule, CASE WHEN k.o IS NOT NULL THEN substr(k.o, 1, 5) WHEN c.o = 1 THEN 'block' ELSE 'allow' END AS verdict FROM k LEFT JOIN c ON k.h || k.p = c.a"""
+
+
+def _op10_sql() -> str:
+    return """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; learned filters, hashes, BPE and digests are tested by brute force."""
+    made = {"op2": _op2_sql(), "op3": _op3_sql(), "op5": _op5_sql(), "op6": _op6_sql(), "op9": _op9_sql(), "op10": _op10_sql()}
+    return {name: made[n] for name in queries() if (n := name.split("_")[0]) in made}
