@@ -5,7 +5,10 @@ documents have last. Two sets with Jaccard similarity of at least PERCENT have a
 t = ceil(PERCENT n / 100) for either size n, so the first l of the tokens they share stand in the
 first n - t + l tokens of both: with prefixes for l, partners share at least l prefix tokens. Every
 document chooses its own l: a longer prefix costs more postings, but asks for more matches before a
-candidate is verified; a pair has to share as many as the smaller l of the two.
+candidate is verified; a pair has to share as many as the smaller l of the two. A pair's own overlap
+must reach a = ceil(PERCENT (n + m) / (100 + PERCENT)), and of what it shares, all but the tokens
+behind the prefix that ends first, t - l of them, is in both prefixes: so it has to share
+a - max(t - l) prefix tokens too.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -27,6 +30,8 @@ PERCENT = 75
 MAX_MATCH = 8
 #: What a candidate costs to verify, in postings.
 VERIFY_COST = 8.0
+#: Documents of a posting list that the others are paired with, by round.
+LEADERS = (8, 32)
 #: Counters of the frequency sketch; fixed, so what is broadcast doesn't grow with the corpus.
 CELLS, SLICES = 1 << 20, 16
 LOWEST = -(2**63)
@@ -123,6 +128,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), t.column("b").combine_chunks().take(pa.array(at))], ["a", "b"])
 
 
+def _matches_needed(n1: str, l1: str, n2: str, l2: str) -> Column:
+    """How many prefix tokens two sets of these sizes and l have to share at least."""
+    behind = lambda n, ell: F.ceil(PERCENT * F.col(n) / 100) - F.col(ell)
+    overlap = F.ceil(PERCENT * (F.col(n1) + F.col(n2)) / (100 + PERCENT))
+    return F.greatest(F.least(l1, l2).cast("long"), overlap - F.greatest(behind(n1, l1), behind(n2, l2)))
+
+
 class JaccardJoin:
     """The join of one table, step by step; ``members``, ``links`` and ``components`` are its results.
 
@@ -152,9 +164,10 @@ class JaccardJoin:
         return full.unionByName(self.rows.where("n = 0").select("d", "n", F.col("d").alias("rep")))
 
     def _post(self) -> DataFrame:
-        """Postings t, d, n, l of prefix tokens that two classes have at least, each with the list's first document.
+        """Posting lists t, d, n, l, r of the prefix tokens that two classes have at least.
 
-        A posting list is only streamed, sorted by size and id: nothing is gathered.
+        r numbers a list's documents by a hash of their id, so the same few lead all lists they are in.
+        A list is only streamed in that order: nothing is gathered.
         """
         sketch = self._sketch
 
@@ -172,12 +185,12 @@ class JaccardJoin:
 
         reps = self.docs.join(self.classes.select(F.col("rep").alias("d")).distinct(), "d", "left_semi")
         post = reps.mapInArrow(run, "t long, d long, n int, l int")
-        ordered = Window.partitionBy("t").orderBy("n", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        post = post.withColumn("f", F.first(F.struct("d", "n", "l")).over(ordered)).where("d <> f.d")
-        post = self.ws.save(post.select("t", "d", "n", "l", F.col("f.d").alias("fd"), F.col("f.n").alias("fn"), F.col("f.l").alias("fl")), "postings")
+        ordered = Window.partitionBy("t").orderBy(F.xxhash64("d"), "d")
+        post = post.withColumn("r", F.row_number().over(ordered)).withColumn("_next", F.lead("d").over(ordered))
+        post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").drop("_next"), "postings", "t")
         self.ws.release()
-        involved = post.select("d").union(post.select("fd")).distinct()
-        self.texts = self.ws.save(self.docs.join(involved, "d", "left_semi"), "texts")
+        involved = post.select("d").distinct()
+        self.texts = self.ws.save_bucketed(self.docs.join(involved, "d", "left_semi"), "texts", "d")
         self.ws.release()
         return post
 
@@ -188,43 +201,54 @@ class JaccardJoin:
         x = x.join(t.select(F.col("d").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
         return self.ws.save(x.mapInArrow(_overlaps, "a long, b long").distinct(), name)
 
-    def _pairs(self, lists: DataFrame, differ: bool) -> DataFrame:
-        """Candidates a, b among the documents of each posting list, if ``differ`` only of different components."""
+    def _pairs(self, lists: DataFrame, differ: bool = False, leaders: int | None = None) -> DataFrame:
+        """Candidates a, b among the documents of each posting list.
+
+        With ``leaders``, a is one of the list's first so many documents; if ``differ``, both are of
+        different components.
+        """
         x, y = (lists.select("t", *[F.col(c).alias(f"{c}{i}") for c in lists.columns if c != "t"]) for i in (1, 2))
-        apart = ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("d1") < F.col("d2")))) & (100 * F.col("n1") >= PERCENT * F.col("n2"))
+        x = x.where(F.col("r1") <= leaders) if leaders else x
+        apart = (F.col("r1") < F.col("r2")) & (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
         if differ:
             apart = apart & (F.col("c1") != F.col("c2"))
         both = x.join(y, (x["t"] == y["t"]) & apart)
-        both = both.groupBy(F.col("d1").alias("a"), F.col("d2").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l1", "l2")).alias("l"))
+        both = both.groupBy(F.col("d1").alias("a"), F.col("d2").alias("b")).agg(F.count("*").alias("m"), F.min(_matches_needed("n1", "l1", "n2", "l2")).alias("l"))
         return both.where("m >= l").select("a", "b")
 
-    def _lists(self) -> DataFrame:
-        p = self._posted
-        return p.select("t", "d", "n", "l").union(p.select("t", "fd", "fn", "fl")).distinct()
-
     def links(self) -> DataFrame:
         """a, b: all pairs of class representatives whose sets have the similarity."""
-        return self._verified(self._pairs(self._lists(), differ=False), "links")
+        return self._verified(self._pairs(self._posted), "links")
 
     def components(self) -> DataFrame:
         """node, component: classes that links connect, by their representatives.
 
-        First each posting list's documents are only paired with its first; what that links forms
-        groups. Then the lists are searched whole, but only for pairs of different groups: of pairs
-        in one group none can change the result. So a group of copies costs its size, not its square,
-        and no pair of documents that could join two components is left out.
+        In rounds, documents are paired with the LEADERS of their posting lists, more each time, and
+        only with those of another component than their own; the last round has no leaders and
+        searches the lists whole. A pair within one component cannot change the result, so none is
+        lost; and since the leaders of a group of near copies connect most of it, what is left to pair
+        in full are the few outside, so a group costs its size and not its square.
         """
-        p = self._posted
-        star = p.where(100 * F.col("fn") >= PERCENT * F.col("n")).groupBy(F.col("fd").alias("a"), F.col("d").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("l", "fl")).alias("l"))
-        star = self.ws.save(star.where("m >= l").select("a", "b"), "star")
-        first = self._verified(star, "first-links")
-        groups = connected_components(first.toDF("u", "v"), self.ws, "groups")
-        lists = self._lists().join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
-        lists = self.ws.save(lists, "lists")
-        mixed = lists.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
-        more = self._pairs(lists.join(mixed, "t", "left_semi"), differ=True).join(star, ["a", "b"], "left_anti")
-        second = self._verified(self.ws.save(more, "across"), "second-links")
-        return connected_components(first.union(second).toDF("u", "v"), self.ws, "joined")
+        tried = links = groups = None
+        longest = self._posted.agg(F.max("r")).first()[0] or 0
+        for k, leaders in enumerate((*LEADERS, None)):
+            if k and LEADERS[k - 1] >= longest:
+                break  # every list has been searched whole
+            lists = self._posted
+            if groups is not None:
+                lists = lists.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+                lists = self.ws.save_bucketed(lists, f"lists{k}", "t")
+                mixed = lists.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
+                lists = lists.join(mixed, "t", "left_semi")
+            pairs = self._pairs(lists, groups is not None, leaders)
+            pairs = self.ws.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+            self.ws.drop(f"lists{k}")
+            found = self._verified(pairs, f"links{k}")
+            self.ws.release()
+            tried = pairs if tried is None else tried.union(pairs)
+            links = found if links is None else links.union(found)
+            groups = connected_components(links.toDF("u", "v"), self.ws, f"groups{k}")
+        return groups
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
