@@ -150,10 +150,10 @@ class Codec:
     def __init__(self, ranks: Mapping[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text the ids of its pieces, in order."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """For each text its pieces, in order: ids, the same in decimal, and the bytes they decode to."""
         pieces = [self.split(t) for t in texts]
         new = {p for x in pieces for p in x if p not in self.kept}
         if len(self.kept) + len(new) > KEPT_WORDS:
@@ -161,7 +161,7 @@ class Codec:
             new = {p for x in pieces for p in x}
         words = {p.encode("utf-8", "surrogatepass"): p for p in new}
         for w, ids in replay(words, self.ranks).items():
-            self.kept[words[w]] = ids
+            self.kept[words[w]] = (ids, " ".join(map(str, ids)), decode(ids, self.tokens))
         at = self.kept.__getitem__
         return (list(map(at, x)) for x in pieces)
 
@@ -182,17 +182,18 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, *, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*sent.value)
-        tokens, sha = codec.tokens, hashlib.sha256
+        sha = hashlib.sha256
         for part in chunks(batches, text):
             n_tokens, flat, ends, coded, decoded = [], [], [0], [], []
             texts = [t or "" for t in part.column(text).to_pylist()]
             for pieces in codec.encode(texts):
-                own = [i for p in pieces for i in p]
-                n_tokens.append(len(own))
-                coded.append(sha(" ".join(map(str, own)).encode()).hexdigest())
-                decoded.append(sha(b"".join(map(tokens.__getitem__, own))).hexdigest())
+                decimal = " ".join([p[1] for p in pieces])
+                n_tokens.append(decimal.count(" ") + 1 if decimal else 0)
+                coded.append(sha(decimal.encode()).hexdigest())
+                decoded.append(sha(b"".join([p[2] for p in pieces])).hexdigest())
                 if ids:
-                    flat.extend(own)
+                    for p in pieces:
+                        flat.extend(p[0])
                     ends.append(len(flat))
             more = [pa.array(n_tokens, pa.int64())]
             if ids:
