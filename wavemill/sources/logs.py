@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from ..functions.scalar import number, status
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The columns of ``schema`` by the header's names, and exp_no, a row's place in the file from 0.
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of ``schema`` (DDL) by the header's names, and exp_no, a row's place in the file from 0.
 
     Doubles that do not parse are null; a status is trimmed and upper-cased. The file is read as one
     text, since rows of a split file have no order.
@@ -25,7 +25,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raw = F.when(raw != "", raw)
         return (number(raw) if isinstance(f.dataType, T.DoubleType) else status(raw) if f.name == "status" else raw).alias(f.name)
 
-    return rows.select("exp_no", *[column(f) for f in schema])
+    return rows.select("exp_no", *[column(f) for f in T.StructType.fromDDL(schema)])
 
 
 def append_tsv(rows: DataFrame, path: str) -> None:
