@@ -6,9 +6,9 @@ t = ceil(PERCENT n / 100) for either size n, so the first l of the tokens they s
 first n - t + l tokens of both: with prefixes for l, partners share at least l prefix tokens. Every
 document chooses its own l: a longer prefix costs more postings, but asks for more matches before a
 candidate is verified; a pair has to share as many as the smaller l of the two. A pair's own overlap
-must reach a = ceil(PERCENT (n + m) / (100 + PERCENT)), and of what it shares, all but the tokens
-behind the prefix that ends first, t - l of them, is in both prefixes: so it has to share
-a - max(t - l) prefix tokens too.
+must reach a = ceil(PERCENT (n + m) / (100 + PERCENT)), so its l-th shared token has a - l others
+behind it in both sets: only shared tokens at places before n - a + l and m - a + l are paired at all,
+which for sets of like size is far less than the prefixes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -33,7 +33,7 @@ VERIFY_COST = 8.0
 #: Documents of a posting list that the others are paired with, by round.
 LEADERS = (8, 32)
 #: Counters of the frequency sketch; fixed, so what is broadcast doesn't grow with the corpus.
-CELLS, SLICES = 1 << 20, 16
+CELLS, SLICES = 1 << 22, 64
 LOWEST = -(2**63)
 
 
@@ -60,7 +60,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in chunks(batches, "text"):
         sets = shingle_sets(t.column("text"))
         total = [[mix(s ^ np.uint64(c)).sum(dtype=np.uint64) for s in sets] for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-        cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        np.add.at(cells, (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), 1)
         s1, s2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in total)
         yield pa.RecordBatch.from_arrays([t.column("d").combine_chunks(), pa.array(np.array([len(s) for s in sets], np.int64)), s1, s2, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
     if cells.any():
@@ -85,24 +85,24 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.select("slice", "part").mapInArrow(run, "slice int, part binary")
 
 
-def excess_counts(cells: np.ndarray) -> np.ndarray:
-    """By how much a counter exceeds what rare tokens alone would give it."""
+def usual_count(cells: np.ndarray) -> float:
+    """Up to what count a counter may hold rare tokens alone."""
     mean = float(cells.mean()) if len(cells) else 0.0
-    return np.maximum(0.0, cells - (mean + 4 * np.sqrt(mean) + 1)).astype(np.float32)
+    return mean + 4 * np.sqrt(mean) + 1
 
 
-def prefix(tokens: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order, and the number l of matches it asks for.
 
-    ``tokens`` are sorted; ``excess`` is each one's estimated number of other documents. For each l
-    the estimate is the postings written, plus what the candidates cost to verify: the documents met
-    in the prefix, over the matches that each of them needs. The cheapest l is taken.
+    ``tokens`` are sorted; ``counts`` are their counters, which give the order and, by what exceeds
+    ``usual``, the estimated number of other documents. For each l the estimate is the postings
+    written, plus what the candidates cost to verify: the documents met in the prefix, over the
+    matches that each of them needs. The cheapest l is taken.
     """
     n = len(tokens)
     t = -(-PERCENT * n // 100)
-    level = np.where(excess > 0, np.floor(np.log2(excess + 1)) + 1, 0)
-    order = np.argsort(level, kind="stable")
-    met = np.cumsum(excess[order])
+    order = np.argsort(counts, kind="stable")
+    met = np.cumsum(np.maximum(0.0, counts[order] - usual))
     most = min(MAX_MATCH, t)
     ells = np.arange(1, most + 1)
     lengths = n - t + ells
@@ -128,13 +128,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in at], pa.int64()), t.column("b").combine_chunks().take(pa.array(at))], ["a", "b"])
 
 
-def _matches_needed(n1: str, l1: str, n2: str, l2: str) -> Column:
-    """How many prefix tokens two sets of these sizes and l have to share at least."""
-    behind = lambda n, ell: F.ceil(PERCENT * F.col(n) / 100) - F.col(ell)
-    overlap = F.ceil(PERCENT * (F.col(n1) + F.col(n2)) / (100 + PERCENT))
-    return F.greatest(F.least(l1, l2).cast("long"), overlap - F.greatest(behind(n1, l1), behind(n2, l2)))
-
-
 class JaccardJoin:
     """The join of one table, step by step; ``members``, ``links`` and ``components`` are its results.
 
@@ -154,7 +147,7 @@ class JaccardJoin:
         by = {r["slice"]: np.frombuffer(zlib.decompress(r["part"]), np.uint32) for r in got}
         cells = np.concatenate([by[i] for i in range(SLICES)]) if by else np.zeros(CELLS, np.uint32)
         self.rows, self.classes = rows, classes
-        self._sketch = self.spark.sparkContext.broadcast(excess_counts(cells))
+        self._sketch = self.spark.sparkContext.broadcast((cells, usual_count(cells)))
         self._posted = self._post()
 
     @property
@@ -164,27 +157,28 @@ class JaccardJoin:
         return full.unionByName(self.rows.where("n = 0").select("d", "n", F.col("d").alias("rep")))
 
     def _post(self) -> DataFrame:
-        """Posting lists t, d, n, l, r of the prefix tokens that two classes have at least.
+        """Posting lists t, d, n, p, r of the prefix tokens that two classes have at least.
 
+        p is 16 times the token's place in the document's order, from 0, plus the document's l.
         r numbers a list's documents by a hash of their id, so the same few lead all lists they are in.
         A list is only streamed in that order: nothing is gathered.
         """
         sketch = self._sketch
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            excess = sketch.value
+            counts, usual = sketch.value
             for t in chunks(batches, "text"):
                 sets = shingle_sets(t.column("text"))
-                made = [prefix(s, excess[(s & np.uint64(CELLS - 1)).astype(np.int64)]) if len(s) else (s, 0) for s in sets]
+                made = [prefix(s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)], usual) if len(s) else (s, 0) for s in sets]
                 w = np.array([len(p) for p, _ in made])
                 tokens = np.concatenate([p for p, _ in made]).view(np.int64)
                 d = np.repeat(t.column("d").to_numpy(), w)
                 n = np.repeat(np.array([len(s) for s in sets], np.int32), w)
-                ell = np.repeat(np.array([e for _, e in made], np.int32), w)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, d, n, ell)], ["t", "d", "n", "l"])
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) * 16 + e for x, e in made]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, d, n, place)], ["t", "d", "n", "p"])
 
         reps = self.docs.join(self.classes.select(F.col("rep").alias("d")).distinct(), "d", "left_semi")
-        post = reps.mapInArrow(run, "t long, d long, n int, l int")
+        post = reps.mapInArrow(run, "t long, d long, n int, p int")
         ordered = Window.partitionBy("t").orderBy(F.xxhash64("d"), "d")
         post = post.withColumn("r", F.row_number().over(ordered)).withColumn("_next", F.lead("d").over(ordered))
         post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").drop("_next"), "postings", "t")
@@ -204,17 +198,21 @@ class JaccardJoin:
     def _pairs(self, lists: DataFrame, differ: bool = False, leaders: int | None = None) -> DataFrame:
         """Candidates a, b among the documents of each posting list.
 
-        With ``leaders``, a is one of the list's first so many documents; if ``differ``, both are of
+        With ``leaders``, a is one of the list's first so many documents, so that matches in other
+        lists go uncounted and the pair may be left to a later round; if ``differ``, both are of
         different components.
         """
         x, y = (lists.select("t", *[F.col(c).alias(f"{c}{i}") for c in lists.columns if c != "t"]) for i in (1, 2))
         x = x.where(F.col("r1") <= leaders) if leaders else x
-        apart = (F.col("r1") < F.col("r2")) & (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
+        ell = F.least(F.col("p1").bitwiseAND(15), F.col("p2").bitwiseAND(15))
+        overlap = F.ceil(PERCENT * (F.col("n1") + F.col("n2")) / (100 + PERCENT))
+        behind = F.least(*[F.col(f"n{i}") - 1 - F.shiftright(f"p{i}", 4) for i in (1, 2)])  # shared tokens after this at most
+        apart = (F.col("r1") < F.col("r2")) & (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")) & (behind >= overlap - ell)
         if differ:
             apart = apart & (F.col("c1") != F.col("c2"))
         both = x.join(y, (x["t"] == y["t"]) & apart)
-        both = both.groupBy(F.col("d1").alias("a"), F.col("d2").alias("b")).agg(F.count("*").alias("m"), F.min(_matches_needed("n1", "l1", "n2", "l2")).alias("l"))
-        return both.where("m >= l").select("a", "b")
+        both = both.groupBy(F.col("d1").alias("a"), F.col("d2").alias("b")).agg(F.count("*").alias("m"), F.min(ell).alias("l"), F.min(overlap).alias("o"), F.min(behind).alias("k"))
+        return both.where("m >= l and m + k >= o").select("a", "b")
 
     def links(self) -> DataFrame:
         """a, b: all pairs of class representatives whose sets have the similarity."""
