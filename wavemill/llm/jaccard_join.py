@@ -91,13 +91,15 @@ def usual_count(cells: np.ndarray) -> float:
     return mean + 4 * np.sqrt(mean) + 1
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, int]:
-    """A set's prefix in the global order, and the number l of matches it asks for.
+def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, int, int]:
+    """A set's prefix in the global order, the number l of matches it asks for, and its rank to lead, 0 to 255.
 
     ``tokens`` are sorted; ``counts`` are their counters, which give the order and, by what exceeds
     ``usual``, the estimated number of other documents. For each l the estimate is the postings
-    written, plus what the candidates cost to verify: the documents met in the prefix, over the
-    matches that each of them needs. The cheapest l is taken.
+    written, plus what the candidates cost to verify: the documents met at the places that are
+    paired with sets of the same size, over the matches that each of them needs. The cheapest l is
+    taken. A set leads the more, the more documents its prefix meets: of a group of near copies those
+    with the fewest edits, which link to most of the others.
     """
     n = len(tokens)
     t = -(-PERCENT * n // 100)
@@ -106,9 +108,10 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.nda
     most = min(MAX_MATCH, t)
     ells = np.arange(1, most + 1)
     lengths = n - t + ells
-    cost = lengths + met[lengths - 1] * (1 + VERIFY_COST / ells)
+    paired = n + 2 * PERCENT * n // -(100 + PERCENT) + ells
+    cost = lengths + met[paired - 1] * (1 + VERIFY_COST / ells)
     ell = int(ells[np.argmin(cost)])
-    return tokens[order[: n - t + ell]], ell
+    return tokens[order[: n - t + ell]], ell, min(255, int(8 * np.log2(1 + met[n - t])))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +163,8 @@ class JaccardJoin:
         """Posting lists t, d, n, p, r of the prefix tokens that two classes have at least.
 
         p is 16 times the token's place in the document's order, from 0, plus the document's l.
-        r numbers a list's documents by a hash of their id, so the same few lead all lists they are in.
-        A list is only streamed in that order: nothing is gathered.
+        r numbers a list's documents by their rank to lead, then a hash of their id, so the same few
+        lead all lists they are in. A list is only streamed in that order: nothing is gathered.
         """
         sketch = self._sketch
 
@@ -169,19 +172,19 @@ class JaccardJoin:
             counts, usual = sketch.value
             for t in chunks(batches, "text"):
                 sets = shingle_sets(t.column("text"))
-                made = [prefix(s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)], usual) if len(s) else (s, 0) for s in sets]
-                w = np.array([len(p) for p, _ in made])
-                tokens = np.concatenate([p for p, _ in made]).view(np.int64)
+                made = [prefix(s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)], usual) if len(s) else (s, 0, 0) for s in sets]
+                w = np.array([len(p) for p, _, _ in made])
+                tokens = np.concatenate([p for p, _, _ in made]).view(np.int64)
                 d = np.repeat(t.column("d").to_numpy(), w)
                 n = np.repeat(np.array([len(s) for s in sets], np.int32), w)
-                place = np.concatenate([np.arange(len(x), dtype=np.int32) * 16 + e for x, e in made]).astype(np.int32)
+                place = np.concatenate([(lead << 40) + np.arange(len(x), dtype=np.int64) * 16 + e for x, e, lead in made])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, d, n, place)], ["t", "d", "n", "p"])
 
         reps = self.docs.join(self.classes.select(F.col("rep").alias("d")).distinct(), "d", "left_semi")
-        post = reps.mapInArrow(run, "t long, d long, n int, p int")
-        ordered = Window.partitionBy("t").orderBy(F.xxhash64("d"), "d")
+        post = reps.mapInArrow(run, "t long, d long, n int, p long")
+        ordered = Window.partitionBy("t").orderBy(F.shiftright("p", 40).desc(), F.xxhash64("d"), "d")
         post = post.withColumn("r", F.row_number().over(ordered)).withColumn("_next", F.lead("d").over(ordered))
-        post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").drop("_next"), "postings", "t")
+        post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").select("t", "d", "n", (F.col("p") % (1 << 40)).cast("int").alias("p"), "r"), "postings", "t")
         self.ws.release()
         involved = post.select("d").distinct()
         self.texts = self.ws.save_bucketed(self.docs.join(involved, "d", "left_semi"), "texts", "d")
