@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", t
     """
     join = JaccardJoin(docs, ws, doc_id=doc_id, text=text)
     comp = join.components()
+    ws.drop("postings", "texts", *[f"{kind}{k}" for kind in ("pairs", "links") for k in range(len(LEADERS) + 1)])  # the result reads members and components only
     x = join.members.join(comp, F.col("rep") == F.col("node"), "left")
     real = lambda c: F.when(c != LOWEST, c)
     return x.select(real(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("rep")).alias("class_id"), real(F.coalesce("component", "rep")).alias("component_id"))

@@ -243,6 +243,7 @@ def deduplicate(docs: DataFrame, ws: Workspace, *, doc_id: str = "doc_id", text:
         r = ws.save(index.repeats(part, past, f"batch{i}", last=high is None), f"repeats{i}")
         gone = r if gone is None else gone.unionByName(r)
     ws.drop(*[f"batch{i}-{kind}" for i in range(len(cuts) + 1) for kind in ("anchors", "windows")])
+    ws.drop(*[f"compacted-{kind}-{k}" for kind in index.runs for k in range(index.made + 1)])  # repeats are written; the index ends here
     ws.release()
     # An id and text has repeats in one batch only, so no copy of its row meets two.
     gone = gone.toDF("_dedup_d", "_dedup_k", "_dedup_starts", "_dedup_counts")
