@@ -177,6 +177,20 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(df)).count() == 0
 
 
+def test_license_windows(spark):
+    t, filler = license_scan.TEMPLATES, "\n".join(f"line {i} has other words" for i in range(30))
+    bsd, apache = t["BSD-3-Clause"].replace("with or without ", "with or without\n"), t["Apache-2.0"]
+    inline = f"This page explains how things are. {apache} All other rights are held by those who wrote it"
+    texts = [
+        (1, f"{filler}\n{bsd}:\n{filler}"), (2, f"{inline} {filler}".replace("\n", " ")), (3, f"{filler}\n{inline}"), (4, f"{filler}\n{apache}\n{t['MIT']}"), (5, f"{apache} {apache} {t['MIT']} " * 3),
+        (6, f"{filler}\nReleased under no licence, under the usual terms, the MIT way"), (7, f"{filler}\n{t['ISC'].upper()} {t['MIT']}\n{t['GPL-3.0'].replace(' ', chr(10))}"),
+    ]
+    got = {r.doc_id: [(h.segment, h.licence, round(h.dice, 9)) for h in r.hits] for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1] == [(30, "BSD-3-Clause", 1.0)] and got[2] == [(0, "Apache-2.0", 1.0)] and got[3] == [(30, "Apache-2.0", 1.0)]
+    assert got[4] == [(30, "Apache-2.0", 1.0), (31, "MIT", 1.0)] and got[5] == [(0, "Apache-2.0", 1.0)] * 6 + [(0, "MIT", 1.0)] * 3 and got[6] == []
+    assert [h[:2] for h in got[7]] == [(30, "ISC"), (30, "MIT"), (31, "GPL-3.0")]
+
+
 def test_fingerprint(spark, docs):
     order = sorted(DOCS, reverse=True)
     got = {r.doc_id: r for r in fingerprint.with_next(docs, parts=6).collect()}
