@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -254,6 +255,15 @@ def test_language_id(spark):
     assert np.array_equal(language_id.fit(shuffled).bits, model.bits)
 
 
+def test_language_of_one_document_beside_a_large_one(spark):
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 3 != 1]
+    greek = "η γλώσσα αυτή έχει ένα μόνο κείμενο με ετικέτα και πρέπει να μαθευτεί"
+    rows = [(i, prose(30), "en") for i in ids[1:]] + [(ids[0], greek, "el")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs, score = model.predict([greek, rows[0][1]])
+    assert model.languages == ["el", "en"] and langs == ["el", "en"] and min(score) > 0.5
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 

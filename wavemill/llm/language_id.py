@@ -133,8 +133,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
     All such rows are counted by language; of each language a sample of ``sample_docs`` expected
     documents is learned from, chosen by a hash of the id, so reruns agree. N-grams are counted by
-    documents on the executors; only those in ``min_share`` of a language's sample reach the driver,
-    which bounds them by the mean number of n-grams a document over ``min_share``.
+    documents on the executors; only those in ``min_share`` of a language's sample count, whatever the
+    sizes of the table and of other languages, so one document is enough to learn from. Those in half
+    of that share reach the driver, at most twice the mean number of n-grams a document over ``min_share``.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -157,7 +158,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], ["lang", "h", "df"])
 
     df = rows.mapInArrow(count, "lang string, h long, df long").groupBy("lang", "h").agg(F.sum("df").alias("df"))
-    df = df.where(F.col("df") >= F.greatest(F.lit(2), F.element_at(F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(float(min(n, sample_docs))))]), F.col("lang")) * min_share * 0.5) if max(sizes.values()) > 100 else F.lit(True))
+    expected = F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(float(min(n, sample_docs))))])
+    # By half the expected number, since the sample may be smaller; exactly below.
+    df = df.where((F.col("h") == 0) | (F.col("df") >= F.element_at(expected, F.col("lang")) * min_share * 0.5))
     got = df.toPandas()
     languages = sorted(sizes)
     total = dict(zip(got[got.h == 0].lang, got[got.h == 0].df))
