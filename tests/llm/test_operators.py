@@ -223,6 +223,19 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(empty(df), Workspace(spark, "t"), rules).count() == 0
 
 
+def test_url_filter_forms_of_links(spark):
+    bad = "http://b.net/es/1"
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    page = [
+        ("http://a.org/1", link("//b.net/es/1"), "block"), ("http://b.net/fr/2", link("../es/1"), "block"), ("http://b.net/fr/x/3", link("./../../es/1?q=1"), "block"), ("http://b.net", link("es/1#t"), "block"),
+        ("http://c.org/4", f"<meta content='0;url={bad}' http-equiv='refresh'>", "block"), ("http://c.org/5", link("http://d.org/") + link(bad), "block"), ("http://c.org/6", f'<META content="0; URL={bad}" HTTP-EQUIV="Refresh"/>', "block"),
+        ("http://c.org/7", link("mailto:x@b.net") + link("javascript:go()"), "allow"), ("http://c.org/8", link("/es/1?u=" + bad), "allow"), ("http://c.org/9", f"<meta content='0;url={bad}' name='refresh'>", "allow"), ("http://c.org/10", link("?x=1"), "allow"), (None, link("x"), "allow"),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(page)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, Workspace(spark, "t"), [("block", "b.net", "/es/")]).collect()}
+    assert got == {i: v for i, (_, _, v) in enumerate(page)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     v = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 256]) for i in rng.permutation(300)]

@@ -16,6 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 CANONICAL = [r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*\brel\s*=\s*[\"']?canonical\b"]
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+REFRESH_LAST = r"(?is)<meta\b[^>]*\bcontent\s*=\s*[\"']?[^>\"']*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"
 
 Rule = tuple[str, str, str]  #: action (allow or block), host, path
 
@@ -45,18 +46,36 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return best
 
 
+def without_dots(path: Column) -> Column:
+    """The path with its segments ``.`` and ``..`` carried out."""
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))
+    step = lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    last = F.when(path.rlike(r"(?s)(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(?s)(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), last)).otherwise(path)
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """Key of a link's target on the page of this host and path; null for schemes without ``://``."""
+    there = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"(?s)[^/]*$", ""))
+    absolute = F.when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+    near = F.when(there == "", path).when(there.startswith("/"), without_dots(there)).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), without_dots(F.concat(folder, there)))
+    return F.when(absolute.isNotNull(), F.concat(host_of(absolute), path_of(absolute))).otherwise(F.concat(host, near))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """u, v: keys (host and path) of pages and of the canonical link or refresh target in their html.
+    """u, v: keys (host and path) of pages and of all canonical links and refresh targets in their html.
 
-    A target that begins with one ``/`` is on the page's host; other relative targets are left out.
+    Relative targets, those that begin with ``//`` too, are resolved against the page's url; a
+    ``<base>`` is not read. Attributes may come in either order.
     """
     h = F.col(html)
-    found = F.array(*[F.regexp_extract(h, p, 1) for p in [*CANONICAL, REFRESH]])
-    page, host = F.concat(host_of(F.col(url)), path_of(F.col(url))), host_of(F.col(url))
+    found = F.concat(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in [*CANONICAL, REFRESH, REFRESH_LAST]])
     some = pages.where(F.lower(h).contains("canonical") | F.lower(h).contains("refresh"))
-    x = some.select(page.alias("u"), host.alias("_h"), F.explode(found).alias("_t"))
-    there = F.when(F.col("_t").contains("://"), F.concat(host_of(F.col("_t")), path_of(F.col("_t")))).when(F.col("_t").startswith("/") & ~F.col("_t").startswith("//"), F.concat("_h", F.regexp_extract("_t", r"(?s)^([^?#]*)", 1)))
-    return x.select("u", there.alias("v")).where("u <> '' and v <> ''")
+    x = some.select(host_of(F.col(url)).alias("_h"), path_of(F.col(url)).alias("_p"), F.explode(F.array_distinct(found)).alias("_t"))
+    x = x.select(F.concat("_h", "_p").alias("u"), resolved(F.col("_t"), F.col("_h"), F.col("_p")).alias("v"))
+    return x.where("u <> '' and v <> ''")
 
 
 def filter_urls(pages: DataFrame, ws: Workspace, rules: Sequence[Rule], redirects: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
