@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, chat_format, fingerprint, jaccard_join, language_id, license_scan, mixing, substring_dedup, topk, url_filter
+from wavemill.llm import bpe, chat_format, fingerprint, jaccard_join, language_id, license_scan, mixing, queries, substring_dedup, topk, url_filter
 from wavemill.llm.components import connected_components
 from wavemill.llm.storage import Workspace
 
@@ -169,6 +169,18 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(docs), Workspace(spark, "t")).count() == 0
 
 
+def test_op4_rows_come_from_positions(spark, docs, tmp_path):
+    twice = docs.union(docs.where("doc_id % 5 = 0"))
+    twice.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_mixing(spark, str(tmp_path)).collect()
+    mixed = mixing.mix(twice, Workspace(spark, "t")).collect()
+    placed = mixing.positions(mixing.mix(twice, Workspace(spark, "t2"))).groupBy("doc_id", "source", "_b", "_row").agg(F.min("position"), F.max("position"), F.sum("size")).collect()
+    key = lambda r: tuple(map(repr, r))
+    assert sorted((r.doc_id, r.size, r.taken) for r in rows) == sorted((r.doc_id, r.size, r.times * r.size) for r in mixed)
+    assert sorted(((r.doc_id, r.first_position, r.last_position, r.taken) for r in rows if r.taken), key=key) == sorted(((r[0], r[4], r[5], r[6]) for r in placed), key=key)
+    assert all(r.first_position is None and r.last_position is None for r in rows if not r.taken)
+
+
 def test_license_scan(spark):
     t = license_scan.TEMPLATES
     texts = [(1, f"x\n{t['MIT'].upper()}\ny"), (2, None), (3, ""), (4, "Licensed under the Apache license version 2.0 now"), (5, t["CC-BY-NC-4.0"]), (6, "Released under no License"), (7, "Permission is hereby\ngranted, free of charge, to any person obtaining a copy of this software and associated documentation files")]

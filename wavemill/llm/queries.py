@@ -39,7 +39,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Workspace(spark, "op4"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    taken = F.coalesce(F.sum(F.when(F.col("position").isNotNull(), F.col("size"))), F.lit(0)).alias("taken")
+    same = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    rows = mixing.positions(mixed, untaken=True).groupBy("source", "_b", "_row").agg(*same, taken, F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    return rows.drop("source", "_b", "_row")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
