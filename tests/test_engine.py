@@ -108,3 +108,27 @@ def test_every_query_has_a_callable():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "match_eval" in e.queries()
+
+
+def test_signal_queries_over_whole_series(spark, tmp_path):
+    from wavemill.plans import catalog
+
+    q, rng = catalog.queries(), np.random.default_rng(5)
+
+    def rows(name, n, **late):
+        v = [(i, i, "a", float(late.get(f"s{i}", x))) for i, x in enumerate(rng.uniform(10, 240, 400)[:n])]
+        path = tmp_path / f"{name}-{n}-{len(late)}"
+        spark.createDataFrame(v, "event_id long, ts long, event_type string, value double").write.parquet(str(path / "events.parquet"))
+        return v, lambda k: sorted(tuple(r) for r in q[k](spark, str(path)).collect())
+
+    _, short = rows("short", 80)
+    for k in ("steepest_sample", "tail_fallback", "peak_prominence"):
+        assert short(f"{k}_whole")[0][:2] == short(k)[0][:2]
+    assert short("steepest_sample_whole") == short("steepest_sample") and short("peak_prominence_whole") == short("peak_prominence")
+    v, whole = rows("long", 400, s300=5000.0, s350=1.0)
+    x = np.array([r[3] for r in v])
+    assert whole("steepest_sample_whole")[0][1] in (298, 299, 300) and whole("steepest_sample")[0][1] < 80
+    assert whole("percentile_threshold_whole")[0][2] == 400 and whole("percentile_threshold")[0][2] == 399
+    assert abs(whole("tail_fallback_whole")[0][1] - np.quantile(x, 0.95)) < 1e-5 and whole("tail_fallback_whole")[0][2] == 20
+    assert {r[1] for r in whole("quiet_side_reject_whole")} == {n for n in range(2, 399) if min((x[max(0, n - 10) : n] ** 2).mean(), (x[n : n + 10] ** 2).mean()) > 10**3.6}
+    assert max(r[2] for r in whole("peak_prominence_whole")) == 500.0 - max(min(x[:300] // 10), min(x[301:] // 10))

@@ -279,3 +279,79 @@ def steepest_sample(spark, sf_dir):
     s = s.select("ch", F.posexplode("d").alias("n", "d"))
     best = s.groupBy("ch").agg(F.max(F.struct(F.col("d"), (-F.col("n")).alias("m"))).alias("b"))
     return best.select("ch", (-F.col("b.m")).cast("long").alias("n"), r6("b.d").alias("steepest"))
+
+
+# The queries above that have SQL run over cuts of their table, as their SQL does; these run over all samples.
+
+
+@query(None)
+def percentile_threshold_whole(spark, sf_dir):
+    """percentile_threshold over every sample."""
+    z = C.zscore(signal(spark, sf_dir), KEYS)
+    return z.groupBy("ch").agg(r6(F.greatest(F.percentile("z", F.lit(0.999)), F.lit(4.0))).alias("threshold"), F.count("*").alias("n"))
+
+
+@query(None)
+def tail_fallback_whole(spark, sf_dir):
+    """tail_fallback over each whole series, the percentile 1 - 2 / count interpolated; a null threshold is left to the fit of tail_threshold."""
+    s = signal(spark, sf_dir)
+    s = s.withColumns({"c": F.count("*").over(Window.partitionBy("ch")), "r": F.row_number().over(Window.partitionBy("ch").orderBy("x")) - 1})
+    s = s.withColumn("at", F.greatest((F.col("c") - 1) * (1 - 2.0 / F.col("c")), F.lit(0.0)))
+    low, high = (F.max(F.when(F.col("r") == f("at"), F.col("x"))) for f in (F.floor, F.ceil))
+    u = s.groupBy("ch").agg(F.percentile("x", F.lit(0.95)).alias("u"), (low + (F.max("at") - F.floor(F.max("at"))) * (high - low)).alias("f"))
+    x = s.join(u, "ch").groupBy("ch").agg(F.first("u").alias("u"), F.count_if(F.col("x") > F.col("u")).alias("n_exceed"), F.first("f").alias("f"), F.first("c").alias("c"), F.max("x").alias("m"))
+    return x.select("ch", r6("u").alias("u"), "n_exceed", r6(F.when(F.col("c") < 50, F.col("m") + 1).when(F.col("n_exceed") < 10, F.col("f"))).alias("threshold"))
+
+
+@query(None)
+def peak_prominence_whole(spark, sf_dir):
+    """Prominences of all peaks of 15 or more, with bases as far out as the series goes."""
+    import numpy as np
+    import pandas as pd
+
+    x = coarse(spark, sf_dir)
+    top = C.local_maxima(x, KEYS).where("x >= 15").select("ch", "n", F.lit(True).alias("top"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("n")
+        v, at, found = p.x.to_numpy(), np.flatnonzero(p.top.to_numpy()), []
+        for i in at:
+            higher = np.flatnonzero(v > v[i])
+            k = np.searchsorted(higher, i)
+            left = higher[k - 1] + 1 if k else 0
+            right = higher[k] if k < len(higher) else len(v)
+            found.append(v[i] - max(v[left : i + 1].min(), v[i:right].min()))
+        return pd.DataFrame({"ch": p.ch.to_numpy()[at], "n": p.n.to_numpy()[at], "prominence": np.array(found, float)})
+
+    joined = x.join(top, ["ch", "n"], "left").select("ch", "n", "x", F.coalesce("top", F.lit(False)).alias("top"))
+    return joined.groupBy("ch").applyInPandas(run, "ch string, n long, prominence double")
+
+
+@query(None)
+def quiet_side_reject_whole(spark, sf_dir):
+    """quiet_side_reject at every sample."""
+    w = C.over(KEYS)
+    left, right = w.rowsBetween(-10, -1), w.rowsBetween(0, 9)
+    sq = F.col("x") * F.col("x")
+    x = signal(spark, sf_dir).withColumns({"l": S.decibel(F.sqrt(F.avg(sq).over(left))), "r": S.decibel(F.sqrt(F.avg(sq).over(right))), "cl": F.count("x").over(left), "cr": F.count("x").over(right)})
+    return x.where("cl >= 2 and cr >= 2 and l > 36.0 and r > 36.0").select("ch", "n", r6("l").alias("left_db"), r6("r").alias("right_db"))
+
+
+@query(None)
+def steepest_sample_whole(spark, sf_dir):
+    """The steepest step of each whole series, high-passed by the recursion of steepest_sample."""
+    import pandas as pd
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        s1 = s2 = last = 0.0
+        best, at = -1.0, -1
+        for n, x in enumerate(p.sort_values("n").x.tolist()):
+            y = B0 * x + s1
+            s1, s2 = -2 * B0 * x - A1 * y + s2, B0 * x - A2 * y
+            if n and abs(y - last) > best:
+                best, at = abs(y - last), n - 1
+            last = y
+        return pd.DataFrame({"ch": p.ch[:1], "n": [at], "steepest": [best]})[lambda d: d.n >= 0]
+
+    x = signal(spark, sf_dir).groupBy("ch").applyInPandas(run, "ch string, n long, steepest double")
+    return x.select("ch", "n", r6("steepest").alias("steepest"))
