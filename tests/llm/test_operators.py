@@ -7,10 +7,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, chat_format, fingerprint, jaccard_join, language_id, license_scan, mixing, queries, substring_dedup, topk, url_filter
+from wavemill.llm import words as words_module
 from wavemill.llm.components import connected_components
 from wavemill.llm.storage import Workspace
 
@@ -69,6 +71,71 @@ def test_substring_dedup(spark, docs):
     assert [r.n_removed for r in substring_dedup.deduplicate(twice, Workspace(spark, "t")).collect()] == [0, 0]
 
 
+def regular(n, a, b):
+    """The first n letters of the Thue-Morse word over a and b: polynomials modulo 2**64 collide on it and its complement."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_regular_words_and_sequences_do_not_collide(spark):
+    one, two = regular(1024, "a", "b"), regular(1024, "b", "a")
+    rest = prose(19)
+    texts = [f"{one} {rest}", f"{two} {rest}", one, two, regular(4096, "x ", "y ").strip(), regular(4096, "y ", "x ").strip()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.deduplicate(df, Workspace(spark, "t"), batches=2).collect()}
+    want, seen = {}, set()
+    for i, t in enumerate(texts):
+        w, gone = words(t), set()
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            gone |= set(range(s, s + 20)) if k in seen else set()
+            seen.add(k)
+        want[i] = (len(w), len(gone))
+    assert got == want and got[1] == (20, 0)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, Workspace(spark, "t")).collect()}
+    shingles = [len(jaccard_join.real_set(t)) for t in texts]
+    assert near == {0: (16, 0), 1: (16, 0) if 15 / 17 >= 0.75 else (16, 1), 2: (1, 2), 3: (1, 3), 4: (shingles[4], 4), 5: (shingles[5], 4)}
+
+
+def test_hashes_that_all_collide_leave_the_words_to_decide(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda texts: [np.array([1, 2], np.uint64)] * len(texts))
+    pairs = pa.RecordBatch.from_pydict({"a": [1, 1], "b": [2, 3], "left": ["p q r s t u"] * 2, "right": ["a b c d e f", "P q r s t U"]})
+    assert [r.to_pydict() for r in jaccard_join._overlaps(iter([pairs]))] == [{"a": [1], "b": [3]}]
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = [prose(50), prose(60)]
+    docs = pa.RecordBatch.from_pydict({"d": [1, 2], "k": [0, 0], "text": texts, "new": [True, True], "hits": [list(range(43)), list(range(53))]})
+    found = [r for b in substring_dedup._window_rows(iter([docs])) for r in b.to_pylist()]
+    assert len({(r["w"], r["v"]) for r in found}) == 31 + 41 and all(r["starts"] is None for r in found)
+
+
+def test_words_in_numpy():
+    text = np.frombuffer(b"x  y\tzz", np.uint8)
+    starts, ends, _ = words_module.spans(text, np.array([0, 7]))
+    assert words_module.joined(text, starts, ends)[0] == b"x y zz "
+    long = np.frombuffer(b" ".join(b"a" * n for n in (7, 8, 9, 63, 64, 65, 500)), np.uint8)
+    starts, ends, _ = words_module.spans(long, np.array([0, len(long)]))
+    h = words_module.word_hashes(long, starts, ends)
+    assert len(np.unique(h)) == 7 and len(np.unique(words_module.window_hashes(h, 3))) == 5
+    assert words_module.window_hashes(h, 5)[1] == words_module.sequence_hash(h[1:6])
+
+
+def test_index_compacts_and_clashing_columns_stay(spark):
+    passage = prose(25)
+    own = lambda i, k: " ".join(f"{k}{i}.{j}" for j in range(10))
+    rows = [(i, f"{own(i, 'a')} {passage} {own(i, 'b')}", "kept", i) for i in range(40)] + [(7, None, "kept", 0), (None, passage, "kept", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _dedup_d string, n_words int")
+    ws = Workspace(spark, "t")
+    keyed = df.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("k"), "text").where("text is not null").cache()
+    index, runs = substring_dedup.FingerprintIndex(ws, fanout=2), {"anchors": [], "windows": []}
+    for i in range(0, 41, 6):
+        index.repeats(keyed.where(f"d >= {i - 1} and d < {i + 5}"), keyed.where(f"d < {i + 5}"))
+        for kind in runs:
+            runs[kind].append(len(index.runs[kind]))
+    assert index.compactions >= 4 and max(runs["anchors"]) <= 2 and max(runs["windows"]) <= 2
+    out = substring_dedup.deduplicate(df, Workspace(spark, "t")).collect()
+    assert {r.doc_id: r.n_removed for r in out if r.text} == {None: 0, **{i: 25 for i in range(40)}} and all(r._dedup_d == "kept" for r in out)
+    assert not [t.name for t in spark.catalog.listTables()]
+
+
 def sets():
     fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     for i, t in DOCS:

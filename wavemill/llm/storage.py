@@ -1,21 +1,36 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset (tests, a laptop) a
-temporary folder of this machine stands in for it.
+``spark.checkpoint.dir`` names that folder. Only a session of one machine may leave it unset (tests, a
+laptop): a temporary folder of this machine then stands in for it; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this, the shuffle files of a write go as soon as it is done: what it wrote replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/wavemill-shared"
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    return f"{tempfile.gettempdir()}/wavemill-shared"
+
+
+def unused(stem: str, *names: str) -> str:
+    """``stem``, made longer until none of the names begins with it."""
+    while any(n.lower().startswith(stem) for n in names):
+        stem += "_"
+    return stem
 
 
 class Workspace:
@@ -35,31 +50,41 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    @contextmanager
+    def _shuffles_freed(self) -> Iterator[None]:
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back: a cut of the lineage."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.load(name, df)
+        with self._shuffles_freed():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def load(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
+    def save_bucketed(self, df: DataFrame, name: str, *keys: str, shuffle: bool = True) -> DataFrame:
+        """Like ``save``, sorted in buckets of ``keys``: joins and groups by just these keys need no shuffle.
 
-    def save_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Like ``save``, in buckets of ``keys``: joins on just these keys then leave the table where it is."""
+        Without ``shuffle``, ``df`` is dealt by the keys already. Unions of such tables keep the buckets.
+        The name that Spark needs to write buckets is gone when this returns, the files stay.
+        """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-        out = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-        out.format("parquet").option("compression", "zstd").option("path", self.path(name)).saveAsTable(table)
-        return self.spark.table(table)
+        out = (df.repartition(buckets, *keys) if shuffle else df).write.bucketBy(buckets, *keys).sortBy(*keys)
+        with self._shuffles_freed():
+            out.format("parquet").option("compression", "zstd").option("path", self.path(name)).saveAsTable(table)
+        found = self.spark.table(table)
+        found.schema  # resolved now, by the files
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
 
     def drop(self, *names: str) -> None:
         for name in names:
             fs, path = self._at(self.path(name))
             fs.delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark delete shuffle files that no DataFrame refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

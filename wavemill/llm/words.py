@@ -1,13 +1,15 @@
 """Words of whole texts and their hashes, for many documents at once, in numpy.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r. Texts are taken as UTF-8 bytes; a
-word's hash is a keyed polynomial over its bytes, a window's hash one over the hashes of its words,
-both modulo 2**64 and mixed. All functions take the concatenated bytes of many texts and the offsets
-at which each text begins.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r. Texts are taken as UTF-8 bytes. A word's
+hash takes its bytes eight at a time through a mixing function, a window's hash joins those of its words
+two by two through the same: neither is linear in its input, so words and windows of regular shape collide
+no more often than any others. Hashes only propose; ``digests`` has what decides that words are equal.
+All functions take the concatenated bytes of many texts and the offsets at which each text begins.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-_Q = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-_powers: dict[int, np.ndarray] = {}
+#: Words of more bytes are hashed by BLAKE2b.
+LONG_WORD = 64
+_KEYS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+_LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: The first n bytes of eight, little-endian.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def widened(df: DataFrame, columns: str, *needed: str) -> tuple[DataFrame, T.StructType]:
@@ -45,19 +48,6 @@ def widened(df: DataFrame, columns: str, *needed: str) -> tuple[DataFrame, T.Str
     return df, T.StructType(df.schema.fields + more)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    if (have := _powers.get(base)) is None or len(have) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
-        x[0] = 1
-        have = _powers[base] = np.cumprod(x, dtype=np.uint64)
-    return have[:n]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -116,22 +106,57 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[seed][data] * _power(_P[seed], n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_inverse(_P[seed]), n + 1)[starts] + (ends - starts).astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(size.astype(np.uint64) * _LEFT ^ _KEYS[seed])
+    live = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        block = eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]
+        out[live] = mix((out[live] ^ block) * _RIGHT + _KEYS[seed])
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=bytes([seed + 1])).digest(), "little")
+    return out
+
+
+def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` words from each position on; windows may cross texts: mask them."""
-    n = len(words)
-    if n < length:
+    n = len(words) - length + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _power(_Q[seed], n), out=total[1:])
-    return mix((total[length:] - total[:-length]) * _power(_inverse(_Q[seed]), n + 1)[: n - length + 1] + np.uint64(length))
+    both = lambda a, b: mix(a * _LEFT + (b ^ (b >> np.uint64(32))) * _RIGHT)
+    out, done, power, reach = None, 0, words, 1
+    while True:  # spans of 1, 2, 4, .. words; those in the binary form of the length, side by side
+        if length & reach:
+            part = power[done : done + n]
+            out, done = part if out is None else both(out, part), done + reach
+        if done == length:
+            return mix(out + np.uint64(length))
+        power, reach = both(power[:-reach], power[reach:]), reach * 2
+
+
+def sequence_hash(words: np.ndarray) -> np.uint64:
+    """Hash of a whole sequence of words; equal to ``window_hashes`` of that length."""
+    return window_hashes(words, len(words))[0]
 
 
-def sequence_hash(words: np.ndarray, seed: int = 0) -> np.uint64:
-    """Hash of a whole sequence of words; equal to ``window_hashes`` of that length."""
-    return window_hashes(words, len(words), seed)[0]
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins in that (and the end)."""
+    at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    out = np.full(at[-1], 32, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = data[~SPACE[data]]
+    return out.tobytes(), at
+
+
+def digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) int64: a 128-bit BLAKE2b digest of each span of ``text``.
+
+    Equal digests are taken for equal words: no two different texts with one are known, and among 10**15
+    the chance of any is below 10**-8.
+    """
+    view, make = memoryview(text), hashlib.blake2b
+    return np.frombuffer(b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
