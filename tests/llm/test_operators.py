@@ -231,21 +231,63 @@ def test_mixing(spark, docs):
     assert all(abs(taken[s] - target[s]) <= max(size.values()) / 2 for s in order)
     rows = mixing.curriculum(docs, Workspace(spark, "t")).collect()
     assert len(rows) == out.times.sum() and rows[0].h == "x"
-    pos = mixing.positions(mixing.mix(docs, Workspace(spark, "t"))).toPandas()
-    assert pos.position.between(0, 1).all()
     assert mixing.mix(empty(docs), Workspace(spark, "t")).count() == 0
 
 
-def test_op4_rows_come_from_positions(spark, docs, tmp_path):
-    twice = docs.union(docs.where("doc_id % 5 = 0"))
+def brute_mix(rows, targets):
+    """(doc_id, epoch, position) of every taking; rows: doc_id, source, size, hash; targets: by source, with its schedule."""
+    out = []
+    for source, (target, (a, b)) in targets.items():
+        own, base, plan = sorted((r for r in rows if r[1] == source), key=lambda r: (r[3], r[0])), 0, []
+        total = sum(r[2] for r in own)
+        for i, _, n, h in own:
+            middle, times = base + n / 2, 0
+            while n and times < 2 and middle + times * total < target:
+                times += 1
+            plan.append([i, n, h, middle, times])
+            base += n
+        miss = target - sum(x[1] * x[4] for x in plan)
+        able = [x for x in plan if x[1] and (x[4] < 2 if miss > 0 else x[4]) and abs(abs(miss) - x[1]) < abs(miss)]
+        if able:
+            min(able, key=lambda x: (abs(abs(miss) - x[1]), x[2], x[0]))[4] += 1 if miss > 0 else -1
+        grid = np.linspace(0, 1, 200_001)
+        demand = target * (a * grid + (b - a) * grid**2 / 2) / ((a + b) / 2)
+        out += [(x[0], e, float(np.interp(x[3] + e * total, demand, grid))) for x in plan for e in range(x[4])]
+    return out
+
+
+def test_takings_and_positions_against_brute_force(spark, docs, tmp_path):
+    twice = docs.union(docs.where("doc_id % 5 = 0")).withColumns({"position": F.lit("p"), "epoch": F.col("doc_id"), "_row": F.monotonically_increasing_id()})
     twice.write.parquet(str(tmp_path / "documents.parquet"))
-    rows = queries.op4_mixing(spark, str(tmp_path)).collect()
+    twice = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    facts = twice.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h")).collect()
+    size = {i: len(words(t)) for i, t in DOCS}
+    rows = [(r.doc_id, r.source, size[r.doc_id], r.h) for r in facts]
     mixed = mixing.mix(twice, Workspace(spark, "t")).collect()
-    placed = mixing.positions(mixing.mix(twice, Workspace(spark, "t2"))).groupBy("doc_id", "source", "_b", "_row").agg(F.min("position"), F.max("position"), F.sum("size")).collect()
-    key = lambda r: tuple(map(repr, r))
-    assert sorted((r.doc_id, r.size, r.taken) for r in rows) == sorted((r.doc_id, r.size, r.times * r.size) for r in mixed)
-    assert sorted(((r.doc_id, r.first_position, r.last_position, r.taken) for r in rows if r.taken), key=key) == sorted(((r[0], r[4], r[5], r[6]) for r in placed), key=key)
-    assert all(r.first_position is None and r.last_position is None for r in rows if not r.taken)
+    goal = {r.source: r.target for r in mixed}
+    names = sorted(goal, key=lambda s: (s is None, s or ""))
+    want = sorted(brute_mix(rows, {s: (goal[s], mixing.SCHEDULE[k % 3]) for k, s in enumerate(names)}))
+    got = mixing.curriculum(twice, Workspace(spark, "t"), placed=True).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got) and got[0].asDict().keys() == {*twice.columns}
+    places = sorted((r.doc_id, r.epoch, r.position) for r in got)
+    assert [p[:2] for p in places] == [w[:2] for w in want] and np.allclose([p[2] for p in places], [w[2] for w in want], atol=1e-4)
+    words_of = collections.Counter()
+    for i, _, _ in want:
+        words_of[i] += size[i]
+    out = queries.op4_mixing(spark, str(tmp_path)).collect()
+    op4 = collections.Counter()
+    for r in out:
+        op4[r.doc_id] += r.taken
+        assert (r.first_position is None) == (r.taken == 0) and r.taken in (0, r.size, 2 * r.size)
+    assert len(out) == len(rows) and +op4 == +words_of
+    plain = mixing.curriculum(twice, Workspace(spark, "t"))
+    assert plain.columns == twice.columns and {r.position for r in plain.collect()} == {"p"}
+    assert sorted(r._row for r in plain.collect()) == sorted(r._row for r in got)  # repeated rows: the same ones again
+
+
+def test_order_of_taking_does_not_change_with_the_number_of_buckets(spark, docs):
+    few, many = (mixing.mix(docs, Workspace(spark, "t"), per_bucket=n).select("doc_id", "times", "_mid").collect() for n in (10_000, 1))
+    assert sorted(few) == sorted(many)
 
 
 def test_license_scan(spark):
