@@ -139,14 +139,22 @@ def _op9_sql() -> str:
     path = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
     order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow"))
     rule = "CASE " + " ".join(f"WHEN (h = '{h}' OR h LIKE '%.{h}') AND starts_with(p, '{p}') THEN '{a} {h}{p}'" for a, h, p in order) + " END"
-    link = "WHEN x.t LIKE '%://%' THEN " + f"{host.format('x.t')} || {path.format('x.t')} WHEN x.t LIKE '/%' AND NOT x.t LIKE '//%' THEN x.h || regexp_extract(x.t, '^([^?#]*)', 1)"
-    found = ", ".join("regexp_extract(html, '" + p.removeprefix("(?is)").replace("'", "''") + "', 1, 'si')" for p in (*url_filter.CANONICAL, url_filter.REFRESH))
-    return f"""WITH RECURSIVE x AS (SELECT {host.format("url")} AS h, {host.format("url")} || {path.format("url")} AS u, unnest([{found}]) AS t FROM pages WHERE lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'),
-    l AS (SELECT u, CASE {link} END AS v FROM x), e AS (SELECT u, v FROM l WHERE u <> '' AND v <> '' UNION SELECT v, u FROM l WHERE u <> '' AND v <> ''),
+    key = "CASE WHEN regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(split_part({0}, '://', 1)) || '://' || " + host + " || " + path + " || regexp_extract({0}, '^[^?#]*([?][^#]*)', 1, 's') END"
+    values = ['"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)"]
+    attr = lambda name: "(" + " || ".join(f"regexp_extract(g, '[\\s\"'']{name}\\s*=\\s*{v}', 1, 'si')" for v in values) + ")"
+    root, own = "regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1)", path.format("url")
+    folder = f"CASE WHEN {own} = '' THEN '/' ELSE regexp_replace({own}, '[^/]*$', '') END"
+    # '.' and '..' in relative targets are left to the tests
+    full = f"CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN t LIKE '//%' THEN split_part(url, '//', 1) || t WHEN t LIKE '/%' THEN {root} || t WHEN t LIKE '?%' THEN {root} || {own} || t WHEN t LIKE '#%' THEN url ELSE {root} || {folder} || t END"
+    return f"""WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '<(link|meta)\\s[^>]*>', 0, 'si')) AS g FROM pages),
+    x AS (SELECT url, replace(trim(CASE WHEN lower(g) LIKE '<link%' AND regexp_matches({attr("rel")}, '(^|\\s)canonical(\\s|$)', 'i') THEN {attr("href")}
+        WHEN lower(g) LIKE '<meta%' AND lower(trim({attr("http-equiv")})) = 'refresh' THEN regexp_extract({attr("content")}, 'url\\s*=\\s*["'']?([^"'']*)', 1, 'si') END), '&amp;', '&') AS t FROM tags),
+    y AS (SELECT url, {full} AS t FROM x WHERE t <> ''), l AS (SELECT {key.format("url")} AS u, {key.format("t")} AS v FROM y),
+    e AS (SELECT u, v FROM l WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM l WHERE u IS NOT NULL AND v IS NOT NULL),
     r AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
-    c AS (SELECT a, max(CASE WHEN o LIKE 'allow%' THEN 2 WHEN o LIKE 'block%' THEN 1 END) AS o FROM (SELECT a, (SELECT {rule} FROM (SELECT regexp_extract(b, '^([^/]*)', 1) AS h, substr(b, length(regexp_extract(b, '^([^/]*)', 1)) + 1) AS p)) AS o FROM r) GROUP BY a),
-    g AS (SELECT page_id, {host.format("url")} AS h, {path.format("url")} AS p FROM pages), k AS (SELECT page_id, h, p, {rule} AS o FROM g)
-    SELECT page_id, h AS host, p AS path, substr(k.o, 7) AS rule, CASE WHEN k.o IS NOT NULL THEN substr(k.o, 1, 5) WHEN c.o = 1 THEN 'block' ELSE 'allow' END AS verdict FROM k LEFT JOIN c ON k.h || k.p = c.a"""
+    c AS (SELECT a, max(CASE WHEN o LIKE 'allow%' THEN 2 WHEN o LIKE 'block%' THEN 1 END) AS o FROM (SELECT a, {rule} AS o FROM (SELECT a, {host.format("b")} AS h, {path.format("b")} AS p FROM r)) GROUP BY a),
+    g AS (SELECT page_id, {host.format("url")} AS h, {path.format("url")} AS p, {key.format("url")} AS k FROM pages), j AS (SELECT page_id, h, p, k, {rule} AS o FROM g)
+    SELECT page_id, h AS host, p AS path, substr(j.o, 7) AS rule, CASE WHEN j.o IS NOT NULL THEN substr(j.o, 1, 5) WHEN c.o = 1 THEN 'block' ELSE 'allow' END AS verdict FROM j LEFT JOIN c ON j.k = c.a"""
 
 
 def _op10_sql() -> str:

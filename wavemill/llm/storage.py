@@ -88,3 +88,8 @@ class Workspace:
         for name in names:
             fs, path = self._at(self.path(name))
             fs.delete(path, True)
+
+    def drop_all(self) -> None:
+        """Free all tables; the workspace can be used again."""
+        fs, path = self._at(self.root)
+        fs.delete(path, True)
