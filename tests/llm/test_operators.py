@@ -3,9 +3,11 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -435,22 +437,31 @@ def test_op9_against_its_sql(spark, tmp_path):
     assert {r[0]: r[4] for r in got} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "allow"}
 
 
-def test_topk(spark):
+def brute_top(vectors, k):
+    q = {}
+    for i, x in vectors:
+        q.setdefault(i, []).append([math.floor(256 * Fraction(float(np.float32(c)))) for c in x])
+    flat = [(j, x) for j, xs in q.items() for x in xs]
+    score = lambda a, b: sum(s * t for s, t in zip(a, b))
+    return {i: [sorted((-score(x, y), j) for j, y in flat if j != i and len(y) == len(x))[:k] for x in q[i]] for i in q if i % 50 == 0}
+
+
+@pytest.mark.parametrize("group", [65_536, 4])
+def test_topk(spark, group):
     rng = np.random.default_rng(4)
     v = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 256]) for i in rng.permutation(300)]
-    odd = [(1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (1004, []), (1050, [1.0])]
+    v += [(2**63 - 1, [2.0] * 6), (2**63 - 1, [2.0] * 6), (50, [0.5] * 6), (400, [1e30, -1e30, 0.0, 0.0, 0.0, 0.0]), (401, [-1e30, 1e30, 1.0, 0.0, 0.0, 0.0]), (402, [1e30, -1e30, 1.0, 0.0, 0.0, 0.0]), (450, [-3e38] * 6), (451, [2e9] * 6), (460, []), (1050, [1.0])]
+    odd = [(1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6)]
     df = topk.quantized(spark.createDataFrame(v + odd, "vec_id long, embedding array<float>").repartition(4))
     got = collections.defaultdict(list)
-    for r in topk.top_k(df.where("vec_id % 50 = 0"), df, 5, block=4).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((-r.score, r.vec_id))
-    q = {i: np.floor(256 * np.array(x)).astype(int) for i, x in v}
-    for i in range(0, 300, 50):
-        assert got[i] == sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
-    assert set(got) == set(range(0, 300, 50))
+    for r in topk.top_k(df.where("vec_id % 50 = 0"), df, Workspace(spark, "t"), 5, group=group).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, -r.score, r.vec_id))
+    hold = lambda s: max(-(2**63) + 1, min(2**63, s))
+    want = {i: sorted((n, hold(s), j) for one in lists for n, (s, j) in enumerate(one, 1)) for i, lists in brute_top(v, 5).items()}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert [x[2] for x in got[400]][0] in (402,) and len(got[50]) == 10
     few = df.where("vec_id < 3")
-    assert topk.top_k(few, few, 5).count() == 6 and topk.top_k(empty(df), df).count() == 0
-    big = topk._products(np.array([[2**40, 1]]), np.array([[2**20, 3], [1, 1]]))
-    assert big.tolist() == [[2**60 + 3, 2**40 + 1]]
+    assert topk.top_k(few, few, Workspace(spark, "t"), 5, group=min(group, 2)).count() == 6 and topk.top_k(empty(df), df, Workspace(spark, "t")).count() == 0
 
 
 def test_language_id(spark):

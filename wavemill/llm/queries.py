@@ -78,7 +78,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = topk.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return topk.top_k(v.where(F.col("vec_id") % 50 == 0), v)
+    return topk.top_k(v.where(F.col("vec_id") % 50 == 0), v, Workspace(spark, "op10"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
