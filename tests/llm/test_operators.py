@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -177,13 +178,34 @@ def test_bpe_against_the_library(spark, docs):
 
     enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
     odd = ["".join(R.choice("abc") for _ in range(R.randint(0, 30))) for _ in range(300)]
-    got = bpe.replay([w.encode() for w in odd], RANKS)
+    got = bpe.Vocabulary(RANKS).replay([w.encode() for w in odd])
     assert all(list(got[w.encode()]) == enc.encode_ordinary(w) for w in odd)
-    for r in bpe.encode(docs, RANKS, PATTERN).collect():
-        ids = enc.encode_ordinary(r.text or "")
-        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
-        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    assert bpe.encode(empty(docs), RANKS, PATTERN).count() == 0
+    for ws in (None, Workspace(spark, "t")):
+        for r in bpe.encode(docs, RANKS, PATTERN, ws).collect():
+            ids = enc.encode_ordinary(r.text or "")
+            assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+            assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert bpe.encode(empty(docs), RANKS, PATTERN, ws).count() == 0
+    few = bpe.common_words(docs, RANKS, PATTERN, Workspace(spark, "t"), most=20)
+    assert 0 < len(few) <= 20 and all(list(few[w]) == enc.encode_ordinary(w.decode()) for w in few)
+
+
+def test_op7_against_the_library(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    ranks, pattern = queries.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    odd = ["".join(R.choice(["ab", "é", " ", "  ", "\n", "12", "'ll", "\u3042\u3044", "\U0001f600", "-", "\x1c", "qzx" * 9, "a" * 70]) for _ in range(R.randint(0, 60))) for _ in range(300)]
+    path = "/root/testdata/sf0.01/documents.parquet"
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(path).select("doc_id", "text").collect()] if os.path.exists(path) else []
+    texts = given + [(10**9 + i, t) for i, t in enumerate([*odd, None, "<|endoftext|>", "x" * 50_000])]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_bpe(spark, str(tmp_path)).collect()}
+    assert public_tokenizers.PATTERN == pattern and len(got) == len(texts)
+    for i, t in texts:
+        ids = enc.encode_ordinary(t or "")
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
 def test_ranks_file(tmp_path):

@@ -1,20 +1,27 @@
-"""Byte-level BPE by replaying merges over all distinct words of a batch of texts at once."""
+"""Byte-level BPE by replaying merges over all distinct words of a corpus, or of a part of it, at once."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .storage import Workspace
 from .words import chunks, widened
 
-#: Encoded words that a worker keeps for its next texts; the memory for them is bounded by this.
-KEPT_WORDS = 200_000
+#: The most frequent words of a corpus that are encoded once for all of it, at most so many ...
+COMMON_WORDS = 200_000
+#: ... and none of more bytes, so what is sent to the executors is bounded.
+COMMON_BYTES = 64
+#: Bytes of further words that a worker keeps for its next texts.
+KEPT_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -23,165 +30,238 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: Iterable[bytes], ranks: Mapping[bytes, int]) -> dict[bytes, tuple[int, ...]]:
-    """Token ids of each distinct word.
+class Vocabulary:
+    """Tokens by rank, and the rank that each pair of tokens merges to, looked up once."""
 
-    All words start as single bytes in linked lists. An inverted index leads from the rank that a
-    pair of neighbours would merge to, to the places (word, position) where the pair stands. The
-    lowest rank is taken, again and again; its places are merged from left to right, and only the two
-    pairs that a merge touches are looked up anew. If that gives a word a pair of lower rank, its
-    further places of the present rank wait until the lower one is done, so every word sees exactly
-    its own lowest pair, leftmost first. A word that is a token is not split.
-    """
-    out: dict[bytes, tuple[int, ...]] = {}
-    todo: list[bytes] = []
-    for w in dict.fromkeys(words):
-        r = ranks.get(w)
-        if r is not None:
-            out[w] = (r,)
-        elif w:
-            todo.append(w)
-        else:
-            out[w] = ()
-    # One flat array for all words: piece[i] is the token that starts at i, nxt and prv its neighbours.
-    piece: list[bytes | None] = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    begin: list[int] = []
-    index: dict[int, list[int]] = {}
-    single = [bytes([i]) for i in range(256)]
-    pair_rank: dict[tuple[int, int], int | None] = {}
-    for w in todo:
-        b = len(piece)
-        begin.append(b)
-        n = len(w)
-        piece.extend([single[x] for x in w])
-        prv.append(-1)
-        prv.extend(range(b, b + n - 1))
-        nxt.extend(range(b + 1, b + n))
-        nxt.append(-1)
-        last = w[0]
-        for i in range(1, n):
-            now = w[i]
-            key = (last, now)
-            if key in pair_rank:
-                r = pair_rank[key]
-            else:
-                r = pair_rank[key] = ranks.get(w[i - 1 : i + 1])
+    def __init__(self, ranks: Mapping[bytes, int]):
+        self.ranks = ranks
+        self.tokens = {r: t for t, r in ranks.items()}
+        self.base = max(self.tokens, default=0) + 1
+        self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
+        self.merges: dict[int, int] = {}
+
+    def merge(self, pair: int) -> int:
+        """Rank of the token that a pair (left * base + right) merges to; -1 if there is none."""
+        r = self.merges[pair] = self.ranks.get(self.tokens[pair // self.base] + self.tokens[pair % self.base], -1)
+        return r
+
+    def replay(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Token ids of each distinct word.
+
+        All words start as single bytes in linked lists. An inverted index leads from each pair of
+        neighbours to its places, the positions in all words where it stands. Merges are applied in the
+        order of their ranks, each to all its places from left to right, and only the two pairs that a
+        merge touches are looked up anew. If that gives a word a pair of lower rank, its further places
+        wait until the lower one is done, so every word sees exactly its own lowest pair, leftmost
+        first. A word that is a token is not split.
+        """
+        out: dict[bytes, tuple[int, ...]] = {}
+        todo: list[bytes] = []
+        for w in dict.fromkeys(words):
+            r = self.ranks.get(w)
             if r is not None:
-                if r in index:
-                    index[r].append(b + i - 1)
-                else:
-                    index[r] = [b + i - 1]
-            last = now
-    by_rank = {r: t for t, r in ranks.items()}
-    heap = list(index)
-    heapq.heapify(heap)
-    get = ranks.get
-    while heap:
-        rank = heapq.heappop(heap)
-        places = index.pop(rank, None)
-        if places is None:
-            continue
-        token = by_rank[rank]
-        places.sort()
-        lower_until = -1  # places before this position belong to a word that has a lower pair now
-        later: list[int] = []
-        for i in places:
-            left = piece[i]
-            if left is None:
-                continue
-            j = nxt[i]
-            if j < 0 or left + piece[j] != token:
-                continue
-            if i < lower_until:
-                later.append(i)
-                continue
-            piece[i] = token
-            piece[j] = None
-            k = nxt[i] = nxt[j]
-            h = prv[i]
-            least = rank
-            if k >= 0:
-                prv[k] = i
-                r = get(token + piece[k])
-                if r is not None:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-                        heapq.heappush(heap, r)
-                    least = min(least, r)
-            if h >= 0:
-                r = get(piece[h] + token)
-                if r is not None:
-                    if r in index:
-                        index[r].append(h)
-                    else:
-                        index[r] = [h]
-                        heapq.heappush(heap, r)
-                    least = min(least, r)
-            if least < rank:
-                while k >= 0:  # to the word's end
-                    lower_until, k = k + 1, nxt[k]
-                lower_until = max(lower_until, i + 1)
-        if later:
-            if rank in index:
-                index[rank].extend(later)
+                out[w] = (r,)
+            elif w:
+                todo.append(w)
             else:
-                index[rank] = later
-                heapq.heappush(heap, rank)
-    for w, b in zip(todo, begin):
-        ids, i = [], b
-        while i >= 0:
-            ids.append(ranks[piece[i]])
-            i = nxt[i]
-        out[w] = tuple(ids)
-    return out
+                out[w] = ()
+        # One flat array for all words: tok[i] is the token that starts at i, nxt and prv its neighbours.
+        tok: list[int] = []
+        for w in todo:
+            tok.extend([self.single[x] for x in w])
+        nxt, prv = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
+        index: dict[int, list[int]] = {}
+        ranked: dict[int, list[int]] = {}  # the pairs in the index that merge to a rank
+        merges, base, merge = self.merges, self.base, self.merge
+
+        def place(pair: int, rank: int, i: int) -> bool:
+            """Put a place into the index; whether its rank is a new one."""
+            if pair in index:
+                index[pair].append(i)
+                return False
+            index[pair] = [i]
+            if rank in ranked:
+                ranked[rank].append(pair)
+                return False
+            ranked[rank] = [pair]
+            return True
+
+        begin = 0
+        begins = []
+        for w in todo:
+            begins.append(begin)
+            end = begin + len(w)
+            prv[begin], nxt[end - 1] = -1, -1
+            left = tok[begin]
+            for i in range(begin, end - 1):
+                right = tok[i + 1]
+                pair = left * base + right
+                r = merges.get(pair)
+                if r is None:
+                    r = merge(pair)
+                if r >= 0:
+                    if pair in index:
+                        index[pair].append(i)
+                    else:
+                        place(pair, r, i)
+                left = right
+            begin = end
+        heap = list(ranked)
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
+            pairs = ranked.pop(rank, None)
+            if pairs is None:
+                continue
+            places = index.pop(pairs[0])
+            for p in pairs[1:]:
+                places += index.pop(p)
+            places.sort()
+            lower_until = -1  # places before this position belong to a word that has a lower pair now
+            later: list[int] = []
+            for i in places:
+                left = tok[i]
+                j = nxt[i]
+                if left < 0 or j < 0 or merges.get(left * base + tok[j]) != rank:
+                    continue
+                if i < lower_until:
+                    later.append(i)
+                    continue
+                tok[i] = rank
+                tok[j] = -1
+                k = nxt[i] = nxt[j]
+                h = prv[i]
+                least = rank
+                if k >= 0:
+                    prv[k] = i
+                    pair = rank * base + tok[k]
+                    r = merges.get(pair)
+                    if r is None:
+                        r = merge(pair)
+                    if r >= 0:
+                        if pair in index:
+                            index[pair].append(i)
+                        elif place(pair, r, i):
+                            heapq.heappush(heap, r)
+                        least = min(least, r)
+                if h >= 0:
+                    pair = tok[h] * base + rank
+                    r = merges.get(pair)
+                    if r is None:
+                        r = merge(pair)
+                    if r >= 0:
+                        if pair in index:
+                            index[pair].append(h)
+                        elif place(pair, r, h):
+                            heapq.heappush(heap, r)
+                        least = min(least, r)
+                if least < rank:
+                    while k >= 0:  # to the word's end
+                        lower_until, k = k + 1, nxt[k]
+                    lower_until = max(lower_until, i + 1)
+            for i in later:
+                if place(tok[i] * base + tok[nxt[i]], rank, i):
+                    heapq.heappush(heap, rank)
+        for w, i in zip(todo, begins):
+            ids = []
+            while i >= 0:
+                ids.append(tok[i])
+                i = nxt[i]
+            out[w] = tuple(ids)
+        return out
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.tokens[i] for i in ids])
 
 
-def decode(ids: Iterable[int], tokens: Mapping[int, bytes]) -> bytes:
-    return b"".join(tokens[i] for i in ids)
+def _utf8(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
 
 
 class Codec:
-    """Encodes many texts; keeps up to ``KEPT_WORDS`` encoded words between calls."""
+    """Encodes many texts, with what is known of the corpus's common words, and keeps further words for a while."""
 
-    def __init__(self, ranks: Mapping[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in ranks.items()}
+    def __init__(self, vocabulary: Vocabulary, pattern: str, known: Mapping[bytes, Iterable[int]] | None = None):
+        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
         self.kept: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.bytes = 0
+        for word, ids in (known or {}).items():
+            self._keep(word.decode("utf-8", "surrogatepass"), ids)
+        self.common = dict(self.kept)
+
+    def _keep(self, word: str, ids: Iterable[int]) -> None:
+        self.kept[word] = (tuple(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
         """For each text its pieces, in order: ids, the same in decimal, and the bytes they decode to."""
+        if self.bytes > KEPT_BYTES:
+            self.kept, self.bytes = dict(self.common), 0
         pieces = [self.split(t) for t in texts]
-        new = {p for x in pieces for p in x if p not in self.kept}
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = {p for x in pieces for p in x}
-        words = {p.encode("utf-8", "surrogatepass"): p for p in new}
-        for w, ids in replay(words, self.ranks).items():
-            self.kept[words[w]] = (ids, " ".join(map(str, ids)), decode(ids, self.tokens))
+        new = set().union(*pieces).difference(self.kept)
+        words = {_utf8(p): p for p in new}
+        for w, ids in self.vocabulary.replay(words).items():
+            self._keep(words[w], ids)
+            self.bytes += len(w)
         at = self.kept.__getitem__
         return (list(map(at, x)) for x in pieces)
 
 
-def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, *, text: str = "text", ids: bool = True) -> DataFrame:
+def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> dict[bytes, list[int]]:
+    """The ids of the corpus's most frequent words that are no tokens themselves, each encoded once.
+
+    All words of all texts are counted; the words of the highest counts, by powers of two, are
+    taken as long as they are at most ``most``. One replay goes over the distinct words of a partition.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((dict(ranks), pattern))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, split = sent.value[0], regex.compile(sent.value[1]).findall
+        for part in chunks(batches, text):
+            found: Counter[str] = Counter()
+            for t in part.column(text).to_pylist():
+                found.update(split(t or ""))
+            rows = [(w, n) for p, n in found.items() if (w := _utf8(p)) not in known and len(w) <= COMMON_BYTES]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+    words = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = ws.save(words, "words")
+    power, taken, least = F.floor(F.log2("n")).cast("int").alias("power"), 0, 0
+    for r in words.groupBy(power).count().orderBy(F.desc("power")).collect():  # at most 63 rows
+        taken += r["count"]
+        if taken > most:
+            least = 2 ** (r["power"] + 1)
+            break
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [w for b in batches for w in b.column(0).to_pylist()]
+        ids = Vocabulary(sent.value[0]).replay(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array([ids[w] for w in mine], pa.list_(pa.int32()))], ["word", "ids"])
+
+    got = words.where(F.col("n") >= least).select("word").mapInArrow(encoded, "word binary, ids array<int>").toArrow()
+    ws.drop("words")
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+
+
+def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace | None = None, *, text: str = "text", ids: bool = True) -> DataFrame:
     """Every input row with n_tokens, ids (array of int), ids_sha256, decoded_sha256.
 
     ``ids`` are the text's token ids; ids_sha256 is the digest of them in decimal, joined by one space;
     decoded_sha256 that of the bytes the ids decode to. ``ids=False`` leaves the array out. Each match
     of ``pattern`` is encoded by itself, without special tokens. Null text counts as empty: no tokens.
-    Repeated rows are encoded alike; other columns stay, but
-    for any of a result's name. Rows go through one by one in bounded parts of
-    a scan, without a shuffle; the vocabulary, of fixed size, is sent to the executors once.
+    Repeated rows are encoded alike; other columns stay, but for any of a result's name. An empty table
+    gives no rows.
+
+    With a workspace, the corpus's common words are encoded first, once (see ``common_words``), and sent
+    to the executors; the other distinct words are replayed part by part as the texts go through,
+    without a shuffle of texts. A part is about 2 MB of texts, or one longer text.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((dict(ranks), pattern))
+    known = common_words(docs, ranks, pattern, ws, text=text) if ws is not None else {}
+    sent = spark.sparkContext.broadcast((dict(ranks), pattern, known))
     docs, schema = widened(docs, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*sent.value)
+        codec = Codec(Vocabulary(sent.value[0]), *sent.value[1:])
         sha = hashlib.sha256
         for part in chunks(batches, text):
             n_tokens, flat, ends, coded, decoded = [], [], [0], [], []

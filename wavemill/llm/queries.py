@@ -65,7 +65,7 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, *vocabulary(), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, *vocabulary(), Workspace(spark, "op7"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
