@@ -338,23 +338,57 @@ def test_license_windows(spark):
     assert [h[:2] for h in got[7]] == [(30, "ISC"), (30, "MIT"), (31, "GPL-3.0")]
 
 
+def plain_digest(text):
+    """Length code and quartile codes of a text, by loops."""
+    data, cells = text.encode(), [0] * 256
+    for tables, at in zip(fingerprint._TABLES.tolist(), [(0, 1, 2), (0, 1, 3), (0, 2, 4), (0, 3, 4)]):
+        for i in range(len(data) - at[2]):
+            cells[tables[0][data[i]] ^ tables[1][data[i + at[1]]] ^ tables[2][data[i + at[2]]]] += 1
+    ranked = sorted(cells)
+    codes = [sum(c > ranked[q] for q in (63, 127, 191)) for c in cells]
+    return min(255, math.floor(8 * math.log2(len(data) + 1))), codes
+
+
+def plain_likeness(a, b):
+    score = sum(6 if abs(x - y) == 3 else abs(x - y) for x, y in zip(a[1], b[1])) + 2 * max(0, abs(a[0] - b[0]) - 1)
+    return 1 - min(1, score / 260)
+
+
+def plain_hex(d):
+    return bytes([d[0]] + [d[1][i] << 6 | d[1][i + 1] << 4 | d[1][i + 2] << 2 | d[1][i + 3] for i in range(0, 256, 4)]).hex()
+
+
 def test_fingerprint(spark, docs):
     order = sorted(DOCS, reverse=True)
+    plain = {t: plain_digest(t) for t in {t or "" for _, t in DOCS}}
     got = {r.doc_id: r for r in fingerprint.with_next(docs, parts=6).collect()}
+    alone = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs.withColumn("fingerprint", F.lit(1))).collect()}
     for k, (i, t) in enumerate(order):
         t, n = t or "", order[(k + 1) % len(order)][1] or ""
         e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-    by_text = {}
-    for i, t in DOCS:
-        assert by_text.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
-    assert got[25].near_edited > 0.2 and fingerprint.with_next(empty(docs)).count() == 0
+        other = plain_digest(e)
+        assert got[i].fingerprint == alone[i] == plain_hex(plain[t]) and got[i].edited_fingerprint == plain_hex(other)
+        assert abs(got[i].near_edited - plain_likeness(plain[t], other)) < 1e-9 and abs(got[i].near_next - plain_likeness(plain[t], plain[n])) < 1e-9
+    assert fingerprint.with_next(empty(docs)).count() == 0 and fingerprint.fingerprints(empty(docs)).count() == 0
     codes = fingerprint.decode([got[25].fingerprint, got[29].fingerprint])
     assert fingerprint.encode(*codes) == [got[25].fingerprint, got[29].fingerprint]
     one = fingerprint.with_next(docs.where("doc_id = 25")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprint_of_ids_that_many_rows_share(spark):
+    rows = [(None, prose(8)) for _ in range(40)] + [(5, prose(8)) for _ in range(30)] + [(5, "same text")] * 7 + [(i, prose(6)) for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ties = {r.text: r.h for r in df.select("text", F.hash("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]], r[1]))
+    want = sorted((str(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    for parts in (1, 4, 12):
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in fingerprint.with_next(df, parts=parts).collect()) == want
+    planned = fingerprint.with_next(df, parts=12).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in planned) < 40  # null ids and id 5 are in several ranges
+
+
 def test_url_filter(spark):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
     page = [
@@ -500,6 +534,50 @@ def test_language_id(spark):
     assert np.array_equal(language_id.fit(shuffled).bits, model.bits)
 
 
+def plain_grams(text):
+    """All n-grams of a text as tuples; letters lower-cased, any run of other characters one boundary."""
+    seq = [None]
+    for c in text:
+        low = c.lower() if c.isalpha() else None
+        if low is not None:
+            seq.append(low if len(low) == 1 else c)
+        elif seq[-1] is not None:
+            seq.append(None)
+    seq += [None] if seq[-1] is not None else []
+    return [g for n in language_id.SIZES for i in range(len(seq) - n + 1) if any(g := tuple(seq[i : i + n]))]
+
+
+def test_language_id_against_sets(spark):
+    rows = []
+    for i in range(240):
+        k = R.choice(["en", "fr", "de"])
+        w = {"en": ["the", "Water", "house", "night", "and"], "fr": ["le", "l'eau", "Maison", "nuit", "été"], "de": ["das", "Wasser", "Haus", "Nacht", "und"]}[k]
+        rows.append((i, " ".join(R.choice(w + ["hotel", "radio"]) for _ in range(R.randint(3, 12))) + R.choice(["", " 42!", "\nǅ İx"]), k))
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = [(set(plain_grams(t)), k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs_of = collections.Counter(k for _, k in learned)
+    share = collections.defaultdict(dict)
+    for grams, k in learned:
+        for g in grams:
+            share[g][k] = share[g].get(k, 0) + 1 / docs_of[k]
+    member = {g: {k for k, x in s.items() if x >= language_id.MIN_SHARE and x >= language_id.MIN_OF_HIGHEST * max(s.values())} for g, s in share.items()}
+    for i, t, k in rows[:60]:
+        grams = plain_grams(t)
+        hashes, _, letters = language_id.grams([t])
+        assert len(hashes) == len(grams) and letters[0] == sum(c.isalpha() for c in t)
+        (lang,), (score,) = model.predict([t])
+        exact = {m: sum(m in member.get(g, ()) for g in grams) / len(grams) for m in model.languages}
+        assert lang == max(model.languages, key=lambda m: (exact[m], -model.languages.index(m))) and abs(score - exact[lang]) < 0.01
+    whole = sorted({g for t in rows for g in plain_grams(t[1])}, key=str)
+    text = {g: "".join(c or " " for c in g) for g in whole}
+    hits = collections.Counter()
+    for g in whole:  # no language is missed; the bits too many are few
+        h, _, _ = language_id.grams([text[g]])
+        mask = int(np.bitwise_or.reduce(model.masks(h)[:, 0])) if len(h) else 0
+        hits["missed"] += sum(not mask >> model.languages.index(k) & 1 for k in member.get(g, ())) if None not in g else 0
+    assert hits["missed"] == 0 and model.false_rate.max() < 1e-4
+
+
 def test_language_of_one_document_beside_a_large_one(spark):
     ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 3 != 1]
     greek = "η γλώσσα αυτή έχει ένα μόνο κείμενο με ετικέτα και πρέπει να μαθευτεί"

@@ -80,20 +80,26 @@ def format_conversations(rows: DataFrame, *, conv_id: str = "conv_id", turn: str
         from .words import chunks, text_bytes
 
         last, part = None, 0
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         for table in chunks(batches, "text", PART_BYTES):
             out, starts, text_at = assemble(text_bytes(table.column("role")), text_bytes(table.column("text")))
-            ids = table.column("conv_id").to_pylist()
+            ids = table.column("conv_id").combine_chunks()
+            number, valid = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            edge = np.ones(len(ids), bool)
+            edge[1:] = (number[1:] != number[:-1]) | (valid[1:] != valid[:-1])
+            first = np.flatnonzero(edge)
+            parts = np.zeros(len(first), np.int64)
+            parts[0] = part + 1 if last == ids[0] else 0
+            last, part = ids[len(ids) - 1], parts[-1]
+            # the buffer that the turns were scattered into is the column's own; conversations are spans of it
+            whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(starts[np.append(first, len(ids))].astype(np.int32)), pa.py_buffer(out)])
             loss = np.asarray(pa.compute.equal(table.column("role"), LOSS_ROLE))
-            first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
-            made = {k: [] for k in ("conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends")}
-            for a, b in zip(first, [*first[1:], len(ids)]):
-                part = part + 1 if last is not None and last[0] == ids[a] else 0
-                last = (ids[a],)
-                spans = text_at[a:b][loss[a:b]] - starts[a]
-                for k, v in zip(made, (ids[a], part, b - a, out[starts[a] : starts[b]].tobytes(), spans[:, 0], spans[:, 1])):
-                    made[k].append(v)
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made.values(), kinds)], list(made))
+            owner = np.cumsum(edge) - 1
+            spans = (text_at - starts[first][owner][:, None])[loss]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[loss], minlength=len(first)))])
+            turns = pa.array(np.diff(np.append(first, len(ids))))
+            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(parts), turns, whole, lists(ends, spans[:, 0]), lists(ends, spans[:, 1])], names)
 
     return x.mapInArrow(run, SCHEMA)
 

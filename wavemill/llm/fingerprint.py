@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +77,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Every input row with its ``fingerprint``; null text counts as empty. No shuffle."""
+    """Every input row with its ``fingerprint``; null text counts as empty. No shuffle.
+
+    Equal texts, repeated rows too, have equal fingerprints; other columns stay, but for one of that
+    name. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text):
@@ -96,36 +101,47 @@ def edited(text: str, after: str) -> str:
 def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next lower id (null ids come last, equal ids go by text); after
-    the last comes the first. Documents are dealt into ranges of ids, one shuffle of the texts, and
+    The next document is that of the next lower id (null ids come last, equal ids go by a hash of the
+    text); after the last comes the first. Documents are dealt into ranges, one shuffle of the texts, and
     stream by in order; the first document of each range is also sent to the range before it, where
     it follows the last. Ranges come from quantiles of all ids, ``parts`` of them (default: the
-    shuffle partitions, 4096 at most), so only that many ids reach the driver. Null texts are empty;
+    shuffle partitions), so only that many ids reach the driver; an id that fills more than a range by
+    itself (null, or one that many rows share) is cut further, by the hash. Null texts are empty;
     repeated rows stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 4096)
-    x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_o", F.coalesce("doc_id", F.lit(LOWEST)))
-    bounds = sorted({int(b) for b in x.select(F.percentile_approx("_o", [i / parts for i in range(1, parts)], F.lit(20_000)) if parts > 1 else F.lit(None)).first()[0] or []}, reverse=True)
-    coarse, fine = bounds[::64], [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    x = x.withColumns({"_o": F.coalesce("doc_id", F.lit(LOWEST)), "_h": F.hash("text")})
+    cuts = F.percentile_approx("_o", [i / parts for i in range(1, parts)], F.lit(20_000)) if parts > 1 else F.lit(None)
+    bounds = x.select(cuts).first()[0]
+    every = [int(b) for b in bounds or []]
+    bounds = sorted(set(every), reverse=True)
+    # Range i ends with the id bounds[i]; one that bounds several ranges fills them, and has as many pieces.
+    pieces = [every.count(b) for b in bounds] + [1]
+    first = [sum(pieces[:i]) for i in range(len(pieces))]
+    longs = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<long>")  # noqa: E731  one literal
+    at = lambda v, i: F.element_at(longs(v), (i + 1).cast("int"))
     if bounds:  # the number of bounds that are greater than the id, found in two steps
-        longs = lambda v: F.array(*[F.lit(b).cast("long") for b in v])
+        step = math.isqrt(len(bounds))
         over = lambda arr: F.size(F.filter(arr, lambda b: b > F.col("_o")))
-        x = x.withColumn("_c", over(longs(coarse)))
-        rest = F.element_at(F.array(*map(longs, fine)), F.greatest(F.col("_c"), F.lit(1)))
-        x = x.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * 64 + over(rest))).drop("_c")
+        x = x.withColumn("_c", F.greatest(over(longs(bounds[::step])) - 1, F.lit(0)) * step)
+        x = x.withColumn("_c", F.col("_c") + over(F.slice(longs(bounds), F.col("_c") + 1, F.lit(step))))
+        piece = F.floor((F.col("_h").cast("long") + 2**31) * at(pieces, F.col("_c")) / F.lit(2.0**32)).cast("long")
+        x = x.withColumn("_n", at(first, F.col("_c")) + F.when(F.col("_o") == at([*bounds, LOWEST], F.col("_c")), piece).otherwise(0)).drop("_c")
     else:
-        x = x.withColumn("_b", F.lit(0))
-    heads = dict(sorted(x.groupBy("_b").agg(F.max("_o")).collect()))  # one row a range
-    order = list(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    array = lambda f: F.array(*[F.lit(f(b)).cast("long") for b in range(len(bounds) + 1)])
-    is_head = F.element_at(array(heads.get), F.col("_b") + 1) == F.col("_o")
-    places = F.array(F.struct(F.col("_b").cast("long").alias("b"), F.lit(0).alias("extra")))
-    again = F.array(F.struct(F.element_at(array(before.get), F.col("_b") + 1).alias("b"), F.lit(1).alias("extra")))
-    x = x.select("doc_id", "text", "_o", F.explode(F.when(is_head, F.concat(places, again)).otherwise(places)).alias("p"))
-    x = x.select("doc_id", "text", "_o", F.col("p.b").alias("b"), F.col("p.extra").alias("extra"))
-    x = x.repartition(len(bounds) + 1, "b").sortWithinPartitions("b", "extra", F.desc("_o"), "text").select("doc_id", "text", "b", "extra")
+        x = x.withColumn("_n", F.lit(0).cast("long"))
+    place = F.struct((-F.col("_o").cast("decimal(20,0)")).alias("o"), F.col("_h").alias("h"))
+    heads = {r["_n"]: r["m"] for r in x.groupBy("_n").agg(F.min(place).alias("m")).collect()}  # one row a range
+    order, ranges = sorted(heads), sum(pieces)
+    before = {n: order[i - 1] for i, n in enumerate(order)}
+    head = [(-int(heads[n]["o"]), heads[n]["h"]) if n in heads else (0, 0) for n in range(ranges)]
+    is_head = (F.col("_o") == at([o for o, _ in head], F.col("_n"))) & (F.col("_h") == at([h for _, h in head], F.col("_n")))
+    places = F.array(F.struct(F.col("_n").alias("b"), F.lit(0).alias("extra")))
+    again = F.array(F.struct(at([before.get(n, 0) for n in range(ranges)], F.col("_n")).alias("b"), F.lit(1).alias("extra")))
+    x = x.select("doc_id", "text", "_o", "_h", F.explode(F.when(is_head, F.concat(places, again)).otherwise(places)).alias("p"))
+    x = x.select("doc_id", "text", "_o", "_h", F.col("p.b").alias("b"), F.col("p.extra").alias("extra"))
+    x = x.repartition(ranges, "b").sortWithinPartitions("b", "extra", F.desc("_o"), "_h", "text").select("doc_id", "text", "b", "extra")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
