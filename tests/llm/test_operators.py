@@ -604,3 +604,66 @@ def test_pipeline_stages(spark, docs):
     assert mixed.columns == named.columns and mixed.count() > 0
     for _, f in p.STAGES:
         assert f(spark, empty(named), "").count() == 0
+
+
+def brute_targets(total):
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, full, target = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, set(), {}
+    while True:
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in full)
+        target = {s: 2 * total[s] if s in full else weight[s] * rest / sum(weight[x] for x in order if x not in full) for s in order}
+        if not (new := {s for s in order if target[s] > 2 * total[s]} - full):
+            return {s: (target[s], mixing.SCHEDULE[k % 3]) for k, s in enumerate(order)}
+        full |= new
+
+
+def brute_cut(texts):
+    """Texts by id without the words in windows of 20 that occurred before; without those that lose all."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        found = list(re.finditer(rb"[^ \t-\r]+", t.encode()))
+        w, gone = [m[0] for m in found], set()
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            gone |= set(range(s, s + 20)) if k in seen else set()
+            seen.add(k)
+        ends = [m.start() for m in found[1:]] + [len(t.encode())]
+        if gone:
+            t = b"".join(t.encode()[m.start() : e] for j, (m, e) in enumerate(zip(found, ends)) if j not in gone).decode()
+        if not w or len(gone) < len(w):
+            out[i] = t
+    return out
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    import tiktoken
+
+    import corpus_pipeline as p
+
+    own = docs.withColumns({"position": F.lit("p"), "_row": F.lit(7), "file": F.lit(None).cast("string")})
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    got = p.run(spark, str(tmp_path)).orderBy("file", "row").collect()
+    model = language_id.fit(docs)
+    langs, score = model.predict([t for _, t in DOCS])
+    kept = {i: t for (i, t), k, s in zip(DOCS, langs, score) if k != "und" and s >= p.MIN_LANGUAGE_SCORE}
+    shingles, near = dict(sets()), {}
+    for i in sorted(kept):  # the smallest id of what links connect
+        near[i] = min([i, *(near[j] for j in near if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j]))])
+        for j in near:
+            if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j]):
+                old = near[j]
+                near = {k: near[i] if v == old else v for k, v in near.items()}
+    cut = brute_cut({i: kept[i] for i in {*near.values()}})
+    name = {i: f"s{i % 3}" if i % 7 else None for i in cut}
+    hashes = {r.i: r.h for r in spark.createDataFrame(list(cut.items()), "i long, t string").select("i", F.xxhash64("i", "t").alias("h")).collect()}
+    rows = [(i, name[i], len(words(t)), hashes[i]) for i, t in cut.items()]
+    total = collections.Counter()
+    for _, s, n, _ in rows:
+        total[s] += n
+    taken = sorted(brute_mix(rows, brute_targets(total)), key=lambda x: (round(x[2], 6), x[0], x[1]))
+    ranks, pattern = queries.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert len(got) > 20 and [r.doc_id for r in got] == [i for i, _, _ in taken]  # in training order, to the end
+    for r in got:
+        ids = enc.encode_ordinary(cut[r.doc_id])
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(cut[r.doc_id].encode()).hexdigest()
