@@ -97,7 +97,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         rows = docs.select("doc_id", "text", *order)
     except AnalysisException:  # not a scan of files
         rows = rows.withColumns({"file": F.lit(None).cast("long"), "row": F.lit(None).cast("long")})
-    return bpe.encode(rows, *vocabulary()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "file", "row")
+    return bpe.encode(rows, *vocabulary(), _begin(spark, docs, "stage-bpe")).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "file", "row")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
