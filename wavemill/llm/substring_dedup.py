@@ -35,9 +35,9 @@ from .words import chunks, digests, joined, mix, spans, text_bytes, widened, win
 WINDOW = 20
 GRAM = 8
 SPAN = WINDOW - GRAM + 1
-FANOUT = 4
+FANOUT = 2
 #: Batches of a whole table: more than FANOUT, so that its own runs are compacted, too.
-BATCHES = 6
+BATCHES = 4
 #: A text of more than one in so many documents is told from others by a broadcast table of, at most, so many rows.
 COMMON = 4096
 LOWEST = -(2**63)
