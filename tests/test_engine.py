@@ -1,6 +1,7 @@
 """Detection, sources, evaluation, logs and streaming on small fixtures."""
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -111,24 +112,129 @@ def test_every_query_has_a_callable():
 
 
 def test_signal_queries_over_whole_series(spark, tmp_path):
-    from wavemill.plans import catalog
+    from wavemill.functions import kernels
+    from wavemill.plans import catalog, signal_queries
 
     q, rng = catalog.queries(), np.random.default_rng(5)
+    late = {300: 5000.0, 350: 1.0}
+    v = [(i, i, "a", float(late.get(i, x)), i % 2) for i, x in enumerate(rng.uniform(10, 240, 400))] + [(1000 + i, i, "b", float(x), 2 + i) for i, x in enumerate(rng.uniform(1, 9, 30))]
+    spark.createDataFrame(v, "event_id long, ts long, event_type string, value double, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda k: sorted(tuple(r) for r in q[k](spark, str(tmp_path)).collect())
+    x = np.array([r[3] for r in v if r[2] == "a"])
+    tiles = [x[i : i + signal_queries.TILE] for i in range(0, len(x), signal_queries.TILE)]
+    steps = [np.abs(np.diff(kernels.high_pass(t, 16000))) for t in tiles]
+    got = [r for r in rows("steepest_sample") if r[0] == "a"]
+    assert [(r[1], r[2]) for r in got] == [(k, k * signal_queries.TILE + int(d.argmax())) for k, d in enumerate(steps)]
+    assert np.allclose([r[3] for r in got], [d.max() for d in steps], atol=1e-5)
+    assert rows("percentile_threshold")[0][2] == 400
+    limits = {r[0]: r[1:] for r in rows("tail_fallback")}
+    assert all(limits[k][1] is None and limits[k][0] == 10 for k in (0, 1)) and all(abs(limits[2 + i][1] - 1 - v[400 + i][3]) < 1e-5 for i in range(30))
+    assert {r[1] for r in rows("quiet_side_reject")} == {n for n in range(2, 399) if min((x[max(0, n - 10) : n] ** 2).mean(), (x[n : n + 10] ** 2).mean()) > 10**3.6}
+    assert max(r[2] for r in rows("peak_prominence")) == 500.0 - max(min(x[:300] // 10), min(x[301:] // 10))
+    z = (x - x.mean()) / x.std()
+    assert abs(dict(rows("tail_threshold"))["a"] - kernels.tail_threshold(z, len(z), 2.0)) < 1e-6  # the search ends where the likelihood is flat
+
+
+def test_hotelling_over_all_components(spark, tmp_path):
+    from wavemill.functions import kernels
+    from wavemill.plans import catalog
 
-    def rows(name, n, **late):
-        v = [(i, i, "a", float(late.get(f"s{i}", x))) for i, x in enumerate(rng.uniform(10, 240, 400)[:n])]
-        path = tmp_path / f"{name}-{n}-{len(late)}"
-        spark.createDataFrame(v, "event_id long, ts long, event_type string, value double").write.parquet(str(path / "events.parquet"))
-        return v, lambda k: sorted(tuple(r) for r in q[k](spark, str(path)).collect())
-
-    _, short = rows("short", 80)
-    for k in ("steepest_sample", "tail_fallback", "peak_prominence"):
-        assert short(f"{k}_whole")[0][:2] == short(k)[0][:2]
-    assert short("steepest_sample_whole") == short("steepest_sample") and short("peak_prominence_whole") == short("peak_prominence")
-    v, whole = rows("long", 400, s300=5000.0, s350=1.0)
-    x = np.array([r[3] for r in v])
-    assert whole("steepest_sample_whole")[0][1] in (298, 299, 300) and whole("steepest_sample")[0][1] < 80
-    assert whole("percentile_threshold_whole")[0][2] == 400 and whole("percentile_threshold")[0][2] == 399
-    assert abs(whole("tail_fallback_whole")[0][1] - np.quantile(x, 0.95)) < 1e-5 and whole("tail_fallback_whole")[0][2] == 20
-    assert {r[1] for r in whole("quiet_side_reject_whole")} == {n for n in range(2, 399) if min((x[max(0, n - 10) : n] ** 2).mean(), (x[n : n + 10] ** 2).mean()) > 10**3.6}
-    assert max(r[2] for r in whole("peak_prominence_whole")) == 500.0 - max(min(x[:300] // 10), min(x[301:] // 10))
+    rng = np.random.default_rng(2)
+    e = [(i, i % 3, [float(x) for x in rng.normal(i % 3, 1, 24).astype(np.float32)]) for i in range(90)]
+    spark.createDataFrame(e, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, p in (("hotelling", 2), ("hotelling_bands", 8)):
+        sides = [np.stack([np.reshape(v, (p, -1)).mean(axis=1) for _, k, v in e if k == label]) for label in range(3)]
+        want = {(k, k + 1): float(kernels.hotelling(sides[k][None], sides[k + 1][None])[0]) for k in (0, 1)}
+        got = {tuple(r)[:2]: r.t2 for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def two_tones(cut, sr=8000, seconds=14):
+    i = np.arange(sr * seconds)
+    jump = np.where(i >= cut * sr, 2.2, 0.0) if cut else 0.0
+    turn = 2 * np.pi / sr
+    return 0.3 * np.sin(231 * turn * i + jump) + 0.2 * np.sin(1147 * turn * i - jump)
+
+
+def test_command_line_finds_and_scores_splices(spark, tmp_path, capsys):
+    import json
+
+    from wavemill.__main__ import main
+    from wavemill.sources import wav
+
+    truth = {"cut": 6.25, "plain": None, "gone": 3.0}
+    for name in ("cut", "plain"):
+        (tmp_path / f"{name}.wav").write_bytes(wav.encode(two_tones(truth[name]), 8000))
+    (tmp_path / "ground_truth.json").write_text(json.dumps({k: {"path": f"{k}.wav", "spliced": v is not None, "splice_time_sec": v, "tier": 2} for k, v in truth.items()}))
+    lines = main(["evaluate", "--data-dir", str(tmp_path)])
+    assert lines[0].startswith("  T2 OK   cut: TP=1 FP=0 FN=0") and lines[1] == "  SKIP gone" and lines[2].startswith("  T2 OK   plain: TP=0 FP=0 FN=0")
+    assert lines[4:9] == ["splice_f1: 1.000000", "precision: 1.00", "recall: 1.00", "fp_rate: 0.00", "  TP=1 FP=0 FN=0 files=3 errors=0"]
+    assert lines[9].startswith("elapsed: ") and lines[9].endswith("s") and "splice_f1" in capsys.readouterr().out
+    found = main(["detect", str(tmp_path / "cut.wav")])
+    assert len(found) == 1 and abs(float(found[0].split(": ")[1].split()[0]) - 6.25) < 0.02
+    broken = tmp_path / "short"
+    broken.mkdir()
+    (broken / "s.wav").write_bytes(wav.encode(np.zeros(40), 8000))
+    (broken / "ground_truth.json").write_text(json.dumps({"s": {"path": "s.wav", "spliced": True, "splice_time_sec": [1.0, 2.0]}}))
+    lines = main(["evaluate", "--data-dir", str(broken)])
+    assert lines[0] == "  ERROR s" and lines[-2] == "  TP=0 FP=0 FN=2 files=1 errors=1"
+
+
+def test_detection_queries(spark):
+    from wavemill.plans import catalog, detection_queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no test data")
+    q = catalog.queries()
+    cuts = {r.path: r.gt_times for r in detection_queries.cases(spark, sf).collect()}
+    found = q["detect_splices"](spark, sf).collect()
+    # within the window of the refinement, whose filter begins at rest: now and then its first step is the steepest
+    assert len(found) >= 10 and all(cuts[r.file_id] and abs(cuts[r.file_id][0] - r.t) < 0.4 for r in found)
+    hits = q["detect_hits"](spark, sf).collect()
+    assert all(abs(cuts[r.file_id][0] - r.coarse_t) < 0.1 for r in hits)
+    assert all(r.error is None and r.score >= r.threshold - 1e-4 and r.mode in ("phase", "crossfade") for r in hits)
+    files = q["evaluate_files"](spark, sf).collect()
+    near = sum(abs(cuts[r.file_id][0] - r.t) <= 0.2 for r in found)
+    assert sum(r.tp for r in files) == near > 8 and sum(r.fp for r in files) == len(found) - near and all(r.status == ("OK" if not r.fp + r.fn else "MISS") for r in files)
+    lines = {r.line.split(":")[0]: r.line for r in q["evaluate_metrics"](spark, sf).collect()}
+    assert lines["precision"] == f"precision: {near / len(found):.2f}"
+
+
+def test_reports_runs_and_sinks(spark, tmp_path):
+    from wavemill.operators import report, telemetry
+    from wavemill.sources import logs
+
+    x = spark.createDataFrame([(1.23456789, -0.5, None)], "a double, b double, c double")
+    got = x.select(report.fixed("a", 6), report.fixed("a", 2, signed=True), report.fixed("b", 1, signed=True), report.fixed("c", 2), report.percent("b")).first()
+    assert tuple(got) == ("1.234568", "+1.23", "-0.5", "", "-50.0%")
+    per = spark.createDataFrame([("f", 1, "MISS", 1, 0, 2, [1.5, 2.0], [1.5])], "name string, tier int, status string, tp long, fp long, fn long, gt array<double>, det array<double>")
+    assert report.file_lines(per, times=True).first().line == "  T1 MISS f: TP=1 FP=0 FN=2 gt=[1.5, 2.0] det=[1.5]"
+    steps = spark.createDataFrame([(i, 2.0) for i in range(30)], "step int, dt double")
+    timed = telemetry.running_time(steps)
+    made = telemetry.until_budget(timed, 10.0)
+    assert made.count() == 16 and telemetry.until_budget(timed, 0.0).count() == 12  # never before the step after the tenth
+    s = telemetry.run_summary(made, 100, 3.0, 1000.0).first()
+    assert (s.num_steps, s.training_seconds, s.total_tokens) == (16, 10.0, 1600) and abs(s.mfu_percent - 100 * 3 * 100 * 6 / 10 / 1000) < 1e-9
+    assert [r.line for r in report.summary_lines(telemetry.run_summary(made, 100, 3.0, 1000.0)).collect()][-1] == "num_steps:        16"
+    assert {r.name: r.value for r in telemetry.parameters(spark, depth=4).collect()}["depth"] == 4 and telemetry.accumulation(524288, 131072) == 4
+    with pytest.raises(ValueError):
+        telemetry.accumulation(100, 3)
+    with pytest.raises(ValueError):
+        telemetry.parameters(spark, nothing=1)
+    for _ in range(2):
+        logs.append_tsv(spark.createDataFrame([("a", 1.5)], "name string, f1 double").coalesce(1), str(tmp_path / "log"))
+    files = [p.read_text() for p in (tmp_path / "log").glob("*.csv")]
+    assert files == ["name\tf1\na\t1.5\n"] * 2
+
+
+def test_chart_frames(spark):
+    from wavemill.operators.experiments import Log
+
+    rows = [("a", 0, 3.0, "KEEP"), ("a", 1, None, "CRASH"), ("a", 2, 2.0, "KEEP"), ("a", 3, 9.0, "DISCARD"), ("b", 0, None, "KEEP"), ("b", 1, 1.0, "DISCARD")]
+    log = Log(spark.createDataFrame(rows, "series string, exp_no long, metric double, status string"), "metric", True, ["series"])
+    assert [tuple(r) for r in log.best_row().collect()] == [("a", 2, 2.0, "KEEP")]
+    assert sorted(tuple(r) for r in log.series_of("DISCARD").collect()) == [("a", 2, 9.0), ("b", 1, 1.0)]
+    axes = {r.series: (r.low, r.high) for r in log.axes().collect()}
+    assert np.allclose(axes["a"], (1.85, 3.15))
+    assert log.head(2).count() == 4

@@ -5,6 +5,8 @@ Windows are partitioned by the series (file and segment), so work is spread over
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ def over(keys: list[str], n: str = "n"):
 
 def zscore(df: DataFrame, keys: list[str], x: str = "x", out: str = "z") -> DataFrame:
     """(x - mean) / population deviation of the series; 0 if that is under 1e-8."""
-    w = Window.partitionBy(*keys)
-    sd = F.stddev_pop(x).over(w)
-    return df.withColumn(out, F.when(sd < 1e-8, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / sd))
+    stats = df.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))
+    z = F.when(F.col("_sd") < 1e-8, 0.0).otherwise((F.col(x) - F.col("_mean")) / F.col("_sd"))
+    return df.join(stats, keys).withColumn(out, z).drop("_mean", "_sd")
 
 
 def difference(df: DataFrame, keys: list[str], x: str = "x", out: str = "d") -> DataFrame:
@@ -83,19 +85,23 @@ def suppressed(peaks: DataFrame, keys: list[str], distance: int, x: str = "x") -
     return peaks.groupBy(*keys).agg(kept.alias("k")).select(*keys, F.explode("k").alias("n"))
 
 
-def prominences(df: DataFrame, peaks: DataFrame, keys: list[str], reach: int, x: str = "x") -> DataFrame:
-    """keys, n, prominence: a peak's height over the higher of its bases within ``reach`` samples.
+def prominences(df: DataFrame, peaks: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+    """keys, n, prominence: a peak's height over the higher of its two bases.
 
-    Samples meet peaks in blocks of ``reach``, an equi-join, so the work is peaks times reach.
+    A base is the lowest value on the way to the next higher one, or to the end of the series, however
+    far that is; so a series is one task's work, in one pass each way.
     """
-    s = df.select(*keys, F.col("n").alias("i"), F.col(x).alias("y"), F.floor(F.col("n") / reach).alias("_b"))
-    p = peaks.select(*keys, "n", F.col(x).alias("h")).withColumn("_b", F.explode(F.sequence(F.floor((F.col("n") - reach) / reach), F.floor((F.col("n") + reach) / reach))))
-    near = s.join(p, [*keys, "_b"]).where(F.abs(F.col("i") - F.col("n")) <= reach)
-    w = Window.partitionBy(*keys, "n")
-    near = near.withColumn("lb", F.max(F.when((F.col("i") < F.col("n")) & (F.col("y") > F.col("h")), F.col("i"))).over(w)).withColumn("rb", F.min(F.when((F.col("i") > F.col("n")) & (F.col("y") > F.col("h")), F.col("i"))).over(w))
-    left = F.min(F.when((F.col("i") <= F.col("n")) & (F.col("lb").isNull() | (F.col("i") > F.col("lb"))), F.col("y")))
-    right = F.min(F.when((F.col("i") >= F.col("n")) & (F.col("rb").isNull() | (F.col("i") < F.col("rb"))), F.col("y")))
-    return near.groupBy(*keys, "n").agg((F.max("h") - F.greatest(left, right)).alias("prominence"))
+    from ..functions.kernels import lowest_before_higher
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("n")
+        v, top = p["x"].to_numpy(np.float64), p["top"].to_numpy(bool)
+        base = np.maximum(lowest_before_higher(v), lowest_before_higher(v[::-1])[::-1])
+        return p.loc[top, [*keys, "n"]].assign(prominence=(v - base)[top])
+
+    marked = df.select(*keys, "n", F.col(x).alias("x")).join(peaks.select(*keys, F.col("n").cast("long").alias("n"), F.lit(True).alias("top")), [*keys, "n"], "left").fillna(False, ["top"])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields if f.name in (*keys, "n"))
+    return marked.groupBy(*keys).applyInPandas(run, f"{kinds}, prominence double")
 
 
 def strongest(df: DataFrame, keys: list[str], k: int, x: str = "x") -> DataFrame:

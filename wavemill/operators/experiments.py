@@ -60,6 +60,28 @@ class Log:
         gain = F.col("baseline") - F.col("best") if self.low else F.col("best") - F.col("baseline")
         return x.withColumn("improvement", gain).withColumn("percent", F.try_divide(gain, F.col("baseline")) * 100).withColumn("margin", gain * 0.15)
 
+    def best_row(self) -> DataFrame:
+        """The whole row of the best kept metric, the first of equals; rows without a metric are nobody's best."""
+        m = F.col(self.metric)
+        key = F.struct(m if self.low else -m, F.col("exp_no"))
+        row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in self.df.columns]), key).alias("_row")
+        return self.kept().where(m.isNotNull()).groupBy(*self.series).agg(row).select("_row.*")
+
+    def series_of(self, status: str) -> DataFrame:
+        """exp idx and metric of the rows of a status, as a chart's scatter series, in the numbering without crashes."""
+        x = self.renumbered().where((F.col("status") == status) & F.col(self.metric).isNotNull())
+        return x.select(*self.series, "idx", F.col(self.metric).alias("y"))
+
+    def axes(self, margin: float = 0.15) -> DataFrame:
+        """low and high of a chart's vertical axis: from the best to the baseline, and ``margin`` of that beyond."""
+        s = self.summary().withColumns({"_a": F.least("baseline", "best"), "_b": F.greatest("baseline", "best")})
+        gap = (F.col("_b") - F.col("_a")) * margin
+        return s.select(*self.series, (F.col("_a") - gap).alias("low"), (F.col("_b") + gap).alias("high"))
+
+    def head(self, n: int = 10) -> DataFrame:
+        """The first rows of each series in the log's order."""
+        return self.df.withColumn("_n", F.row_number().over(self._w())).where(F.col("_n") <= n).drop("_n")
+
     def hits(self) -> DataFrame:
         """Kept rows after the first with delta to the kept row before, ranked by it; total in each row."""
         m = F.col(self.metric)

@@ -71,5 +71,39 @@ def progress_figures(log: DataFrame, tokens: int, flops: float, peak: float, bud
     return log.withColumns({"pct": F.least(F.col("elapsed") / budget_s, F.lit(1.0)) * 100, "tok_per_sec": F.floor(rate), "mfu": 100 * flops * rate / peak, "remaining_s": F.greatest(F.lit(0.0), budget_s - F.col("elapsed"))})
 
 
+def until_budget(log: DataFrame, budget_s: float, order: str = "step", skip: int = 10, series: Sequence[str] = ()) -> DataFrame:
+    """The steps that a run makes: all up to the first one after ``skip`` whose elapsed time reaches the budget.
+
+    ``log`` has elapsed (see ``running_time``). Elapsed time grows, so a step is made if the one before it
+    did not end the run.
+    """
+    before = F.lag("elapsed").over(Window.partitionBy(*series).orderBy(order))
+    over = (F.col(order) - 1 > skip) & (F.coalesce(before, F.lit(0.0)) >= budget_s)
+    return log.withColumn("_over", over).where(~F.col("_over")).drop("_over")
+
+
+def run_summary(log: DataFrame, tokens: int, flops: float, peak: float, skip: int = 10, series: Sequence[str] = ()) -> DataFrame:
+    """One row a run: num_steps, training_seconds, total_tokens, mfu_percent of the steps after the first ``skip``."""
+    x = log.groupBy(*series).agg(F.count("*").alias("num_steps"), F.coalesce(F.sum(F.when(F.col("step") > skip, F.col("dt"))), F.lit(0.0)).alias("training_seconds"))
+    mfu = 100 * flops * tokens * (F.col("num_steps") - skip) / F.col("training_seconds") / peak
+    return x.withColumn("total_tokens", F.col("num_steps") * tokens).withColumn("mfu_percent", F.when(F.col("training_seconds") > 0, mfu).otherwise(0.0))
+
+
+# What the training run is set up with.
+PARAMETERS = {
+    "aspect_ratio": 64.0, "head_dim": 128.0, "total_batch_size": 524288.0, "device_batch_size": 128.0, "depth": 8.0,
+    "embedding_lr": 0.6, "unembedding_lr": 0.004, "matrix_lr": 0.04, "scalar_lr": 0.5, "weight_decay": 0.2,
+    "adam_beta1": 0.8, "adam_beta2": 0.95, "warmup_ratio": 0.0, "warmdown_ratio": 0.5, "final_lr_frac": 0.0,
+}
+
+
+def parameters(spark, **changed: float) -> DataFrame:
+    """name, value of every parameter, with those of ``changed`` in place of the fixed ones."""
+    if unknown := changed.keys() - PARAMETERS.keys():
+        raise ValueError(f"no such parameter: {', '.join(sorted(unknown))}")
+    rows = [(k, float(v)) for k, v in sorted((PARAMETERS | changed).items())]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
 def failed(loss: Column, most: float = 100.0) -> Column:
     return F.isnan(loss) | (loss > most)

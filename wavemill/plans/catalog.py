@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import log_queries, match_queries, signal_queries  # noqa: F401
+    from . import detection_queries, log_queries, match_queries, signal_queries  # noqa: F401
 
     return _found
 

@@ -139,11 +139,11 @@ def ema_loss(spark, sf_dir):
     return steps(spark, sf_dir).groupBy("user_id").agg(v.alias("v")).select("user_id", F.round(T.ema(F.col("v")), 6).alias("ema"))
 
 
-@query(f"WITH {STEPS}, e AS (SELECT user_id, step, value, sum(CASE WHEN step > 10 THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS el FROM steps) SELECT user_id, step, round(el, 6) AS elapsed, round(least(el / 3000.0, 1.0) * 100, 6) AS pct, CAST(floor(524288 / value) AS BIGINT) AS tok_per_sec, round(greatest(0.0, 3000.0 - el), 6) AS remaining_s FROM e WHERE value > 1.005")
+@query(f"WITH {STEPS}, e AS (SELECT user_id, step, value, sum(CASE WHEN step > 10 THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS el FROM steps) SELECT user_id, step, round(el, 6) AS elapsed, round(least(el / 3000.0, 1.0) * 100, 6) AS pct, CAST(floor(524288 / value) AS BIGINT) AS tok_per_sec, round(100 * 1e9 * (524288 / value) / 989.5e12, 9) AS mfu, round(greatest(0.0, 3000.0 - el), 6) AS remaining_s FROM e WHERE value > 0")
 def progress_figures(spark, sf_dir):
-    x = T.running_time(steps(spark, sf_dir).withColumnRenamed("value", "dt"), series=["user_id"]).where("dt > 1.005")
+    x = T.running_time(steps(spark, sf_dir).withColumnRenamed("value", "dt"), series=["user_id"]).where("dt > 0")
     x = T.progress_figures(x, 524288, 1e9, 989.5e12, 3000.0)
-    return x.select("user_id", "step", F.round("elapsed", 6).alias("elapsed"), F.round("pct", 6).alias("pct"), "tok_per_sec", F.round("remaining_s", 6).alias("remaining_s"))
+    return x.select("user_id", "step", F.round("elapsed", 6).alias("elapsed"), F.round("pct", 6).alias("pct"), "tok_per_sec", F.round("mfu", 9).alias("mfu"), F.round("remaining_s", 6).alias("remaining_s"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS layer, CAST(CASE WHEN substr('SSSL', i % 4 + 1, 1) = 'L' OR i = 7 THEN 2048 ELSE 1024 END AS INTEGER) AS window, i % 2 = 1 AS has_value_embedding FROM (SELECT unnest(range(0, 8)) AS i)")
@@ -176,3 +176,57 @@ def rms_norm(spark, sf_dir):
 def failed_steps(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(T.failed(F.col("value"))).alias("failed"), F.count("*").alias("n"))
     return e.select("event_type", "failed", F.round(ratio(F.col("failed"), F.col("n")), 9).alias("failed_share"))
+
+
+BUDGET = f"{STEPS}, e AS (SELECT user_id, step, value, sum(CASE WHEN step > 10 THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS el FROM steps), b AS (SELECT *, lag(el) OVER (PARTITION BY user_id ORDER BY step) AS before FROM e), made AS (SELECT * FROM b WHERE NOT (step - 1 > 10 AND coalesce(before, 0) >= 1500.0))"
+
+
+def made(spark, sf_dir):
+    return T.until_budget(T.running_time(steps(spark, sf_dir).withColumnRenamed("value", "dt"), series=["user_id"]), 1500.0, series=["user_id"])
+
+
+@query(f"WITH {BUDGET} SELECT user_id, step, round(el, 6) AS elapsed FROM made")
+def budget_stop(spark, sf_dir):
+    """The steps of each run until the first after the tenth that reaches the time budget."""
+    return made(spark, sf_dir).select("user_id", "step", F.round("elapsed", 6).alias("elapsed"))
+
+
+@query(
+    f"""WITH {BUDGET}, s AS (SELECT user_id, count(*) AS n, coalesce(sum(value) FILTER (step > 10), 0.0) AS t FROM made GROUP BY user_id)
+    SELECT user_id, n AS num_steps, round(t, 6) AS training_seconds, n * 524288 AS total_tokens, round(CASE WHEN t > 0 THEN 100 * 1e9 * 524288 * (n - 10) / t / 989.5e12 ELSE 0 END, 9) AS mfu_percent FROM s"""
+)
+def run_summary(spark, sf_dir):
+    x = T.run_summary(made(spark, sf_dir), 524288, 1e9, 989.5e12, series=["user_id"])
+    return x.select("user_id", "num_steps", F.round("training_seconds", 6).alias("training_seconds"), "total_tokens", F.round("mfu_percent", 9).alias("mfu_percent"))
+
+
+@query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY exp_no) AS r FROM log) SELECT series, exp_no, metric, status FROM n WHERE r <= 10")
+def log_head(spark, sf_dir):
+    """The first ten rows of each log."""
+    return log(spark, sf_dir).head().select("series", "exp_no", "metric", "status")
+
+
+@query(f"WITH {LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY metric, exp_no) AS r FROM log WHERE status = 'KEEP' AND metric IS NOT NULL) SELECT series, exp_no, metric, status, '#' || exp_no || ' of ' || series AS description FROM k WHERE r = 1")
+def best_description(spark, sf_dir):
+    """The whole row of the best kept metric, its description with it."""
+    x = log(spark, sf_dir)
+    text = F.concat(F.lit("#"), F.col("exp_no").cast("string"), F.lit(" of "), "series")
+    return Log(x.df.withColumn("description", text), x.metric, x.low, x.series).best_row().select("series", "exp_no", "metric", "status", "description")
+
+
+@query(f"WITH {LOG}, {VALID} SELECT series, idx, metric AS y FROM valid WHERE status = 'DISCARD' AND metric IS NOT NULL")
+def discard_series(spark, sf_dir):
+    return log(spark, sf_dir).series_of("DISCARD")
+
+
+@query(
+    f"""WITH {LOG}, s AS (SELECT series, arg_min(metric, exp_no) AS a, min(metric) FILTER (status = 'KEEP') AS b FROM log GROUP BY series)
+    SELECT series, printf('%.6f', a) AS baseline, printf('%.6f', b) AS best, printf('%+.6f', a - b) AS gain, printf('%.1f', (a - b) / a * 100) || '%' AS percent, round(least(a, b) - 0.15 * abs(a - b), 6) AS low, round(greatest(a, b) + 0.15 * abs(a - b), 6) AS high FROM s"""
+)
+def formatted_summary(spark, sf_dir):
+    """The summary's numbers as text, and the chart's axis."""
+    from ..operators.report import fixed, percent
+
+    x = log(spark, sf_dir)
+    s = x.summary().join(x.axes(), "series")
+    return s.select("series", fixed("baseline", 6).alias("baseline"), fixed("best", 6).alias("best"), fixed("improvement", 6, signed=True).alias("gain"), percent(F.col("improvement") / F.col("baseline")).alias("percent"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

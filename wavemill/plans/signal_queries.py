@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,72 +136,104 @@ def band_power(spark, sf_dir):
     return x.select("ch", "frame", "band", r6(S.decibel(F.col("p"), 10.0), 5).alias("db"))
 
 
+# The vector of an embedding in p bands, each the mean of as many neighbouring components.
+def banded(e: DataFrame, p: int) -> DataFrame:
+    """label and p columns b0, b1, ..: means of 64 / p components each, of every vector."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    size = F.size(v) / p
+    mean = lambda i: F.aggregate(F.slice(v, (F.floor(size * i) + 1).cast("int"), F.floor(size * (i + 1)).cast("int") - F.floor(size * i).cast("int")), F.lit(0.0), lambda a, x: a + x) / size
+    return e.select(F.col("label").cast("long").alias("label"), *[mean(i).alias(f"b{i}") for i in range(p)])
+
+
+def neighbours(e: DataFrame, p: int) -> DataFrame:
+    """left_label, right_label, n1, n2, d (differences of means) and s (pooled covariances, upper half by rows).
+
+    Moments of a label are sums that partial aggregation combines: 1 + p + p (p + 1) / 2 numbers a label.
+    """
+    b = banded(e, p)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    m = b.groupBy("label").agg(F.count("*").alias("n"), F.array(*[F.avg(f"b{i}") for i in range(p)]).alias("m"), F.array(*[F.coalesce(F.covar_samp(f"b{i}", f"b{j}"), F.lit(1e-6 if i == j else 0.0)) for i, j in pairs]).alias("c"))
+    x, y = m.alias("x"), m.alias("y")
+    pooled = F.zip_with("x.c", "y.c", lambda a, b: ((F.col("x.n") - 1) * a + (F.col("y.n") - 1) * b) / (F.col("x.n") + F.col("y.n") - 2))
+    j = x.join(y, F.col("y.label") == F.col("x.label") + 1)
+    return j.select(F.col("x.label").alias("left_label"), F.col("y.label").alias("right_label"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), F.zip_with("x.m", "y.m", lambda a, b: a - b).alias("d"), pooled.alias("s"))
+
+
 @query(
-    """WITH v AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+    """WITH v AS (SELECT label, list_avg(list_transform(embedding[1:len(embedding) // 2], lambda x: CAST(x AS DOUBLE))) AS a, list_avg(list_transform(embedding[len(embedding) // 2 + 1:], lambda x: CAST(x AS DOUBLE))) AS b FROM embeddings),
     s AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM v GROUP BY label),
-    p AS (SELECT x.label AS left_label, y.label AS right_label, x.n AS n1, y.n AS n2, x.ma - y.ma AS da, x.mb - y.mb AS db,
+    p AS (SELECT CAST(x.label AS BIGINT) AS left_label, CAST(y.label AS BIGINT) AS right_label, x.n AS n1, y.n AS n2, x.ma - y.ma AS da, x.mb - y.mb AS db,
       ((x.n - 1) * x.va + (y.n - 1) * y.va) / (x.n + y.n - 2) + 1e-6 AS a, ((x.n - 1) * x.vb + (y.n - 1) * y.vb) / (x.n + y.n - 2) + 1e-6 AS b, ((x.n - 1) * x.c + (y.n - 1) * y.c) / (x.n + y.n - 2) AS c
       FROM s x JOIN s y ON y.label = x.label + 1)
     SELECT left_label, right_label, round(n1 * n2 / CAST(n1 + n2 AS DOUBLE) * (b * da * da - 2 * c * da * db + a * db * db) / (a * b - c * c), 5) AS t2 FROM p"""
 )
 def hotelling(spark, sf_dir):
-    """Two-sample T^2 in two dimensions, in closed form, between neighbouring labels."""
-    e = table(spark, sf_dir, "embeddings")
-    v = e.select("label", *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate("ab")])
-    s = v.groupBy("label").agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("c"))
-    x, y = s.alias("x"), s.alias("y")
-    pool = lambda k: ((F.col("x.n") - 1) * F.col(f"x.{k}") + (F.col("y.n") - 1) * F.col(f"y.{k}")) / (F.col("x.n") + F.col("y.n") - 2)
-    p = x.join(y, F.col("y.label") == F.col("x.label") + 1).select(F.col("x.label").alias("left_label"), F.col("y.label").alias("right_label"), F.col("x.n").alias("n1"), F.col("y.n").alias("n2"), (F.col("x.ma") - F.col("y.ma")).alias("da"), (F.col("x.mb") - F.col("y.mb")).alias("db"), (pool("va") + 1e-6).alias("a"), (pool("vb") + 1e-6).alias("b"), pool("c").alias("c"))
+    """Two-sample T^2 between neighbouring labels in two bands of all components, in closed form."""
+    p = neighbours(table(spark, sf_dir, "embeddings"), 2).selectExpr("left_label", "right_label", "n1", "n2", "d[0] AS da", "d[1] AS db", "s[0] + 1e-6D AS a", "s[2] + 1e-6D AS b", "s[1] AS c")
     t2 = F.expr("n1 * n2 / double(n1 + n2) * (b * da * da - 2 * c * da * db + a * db * db) / (a * b - c * c)")
     return p.select("left_label", "right_label", r6(t2, 5).alias("t2"))
 
 
 @query(None)
 def hotelling_bands(spark, sf_dir):
-    """T^2 in eight dimensions between neighbouring labels, by the kernel that detection uses."""
-    import numpy as np
-    import pandas as pd
+    """T^2 between neighbouring labels in eight bands of all components: moments by aggregation, one 8 x 8 solve a pair."""
 
-    from ..functions.kernels import hotelling as t2
+    def solve(n1: pd.Series, n2: pd.Series, d: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for a, b, x, half in zip(n1, n2, d, s):
+            m = np.zeros((len(x), len(x)))
+            m[np.triu_indices(len(x))] = half
+            m = m + np.triu(m, 1).T + 1e-6 * np.eye(len(x))
+            out.append(max(0.0, a * b / (a + b) * float(x @ np.linalg.solve(m, x))))
+        return pd.Series(out, dtype=float)
 
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("v"))
-    pairs = e.withColumn("pair", F.explode(F.array(F.col("label"), F.col("label") + 1)))
+    t2 = F.pandas_udf(solve, "double")
+    return neighbours(table(spark, sf_dir, "embeddings"), 8).select("left_label", "right_label", r6(t2("n1", "n2", "d", "s"), 5).alias("t2"))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.stack(part.v[part.label == k].to_list()) for k in (key[0] - 1, key[0]) if (part.label == k).any()]
-        rows = [(key[0] - 1, key[0], float(t2(sides[0][None], sides[1][None])[0]))] if len(sides) == 2 else []
-        return pd.DataFrame(rows, columns=["left_label", "right_label", "t2"])
 
-    return pairs.groupBy("pair").applyInPandas(run, "left_label long, right_label long, t2 double")
-
-
-@query(f"WITH {SIGNAL}, z AS (SELECT ch, (x - avg(x) OVER (PARTITION BY ch)) / stddev_pop(x) OVER (PARTITION BY ch) AS z, x FROM signal) SELECT ch, round(greatest(quantile_cont(z, 0.999), CAST(4.0 AS DOUBLE)), 6) AS threshold, count(*) AS n FROM z WHERE x > 5.005 GROUP BY ch")
+@query(f"WITH {SIGNAL}, z AS (SELECT ch, (x - avg(x) OVER (PARTITION BY ch)) / stddev_pop(x) OVER (PARTITION BY ch) AS z FROM signal) SELECT ch, round(greatest(quantile_cont(z, 0.999), CAST(4.0 AS DOUBLE)), 6) AS threshold, count(*) AS n FROM z GROUP BY ch")
 def percentile_threshold(spark, sf_dir):
-    z = C.zscore(signal(spark, sf_dir), KEYS).where("x > 5.005")
+    z = C.zscore(signal(spark, sf_dir), KEYS)
     return z.groupBy("ch").agg(r6(F.greatest(F.percentile("z", F.lit(0.999)), F.lit(4.0))).alias("threshold"), F.count("*").alias("n"))
 
 
+# A series for each user: short ones, some under 50 samples.
 @query(
-    f"""WITH {SIGNAL}, s AS (SELECT ch, x FROM signal WHERE n < 150), u AS (SELECT ch, quantile_cont(x, 0.95) AS u, quantile_cont(x, 1 - CAST(2.0 AS DOUBLE) / 150) AS fallback, count(*) AS c FROM s GROUP BY ch)
-    SELECT u.ch AS ch, round(any_value(u), 6) AS u, count(*) FILTER (x > u) AS n_exceed, round(CASE WHEN any_value(c) < 50 THEN max(x) + 1 WHEN count(*) FILTER (x > u) < 10 THEN any_value(fallback) END, 6) AS threshold FROM s JOIN u ON s.ch = u.ch GROUP BY u.ch"""
+    """WITH s AS (SELECT user_id, value AS x, count(*) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS r FROM events),
+    a AS (SELECT *, (c - 1) * CAST(0.95 AS DOUBLE) AS p, (c - 1) * (1 - least(CAST(2.0 AS DOUBLE) / c, CAST(1.0 AS DOUBLE))) AS q FROM s),
+    u AS (SELECT user_id, any_value(c) AS c, max(x) AS m, max(x) FILTER (r = floor(p)) + (any_value(p) - floor(any_value(p))) * (max(x) FILTER (r = ceil(p)) - max(x) FILTER (r = floor(p))) AS u,
+      max(x) FILTER (r = floor(q)) + (any_value(q) - floor(any_value(q))) * (max(x) FILTER (r = ceil(q)) - max(x) FILTER (r = floor(q))) AS f FROM a GROUP BY user_id),
+    e AS (SELECT u.user_id, count(*) FILTER (s.x > u.u) AS n FROM u JOIN s ON s.user_id = u.user_id GROUP BY 1)
+    SELECT u.user_id AS user_id, e.n AS n_exceed, round(CASE WHEN c < 50 THEN m + 1 WHEN e.n < 10 THEN f END, 6) AS threshold FROM u JOIN e ON e.user_id = u.user_id"""
 )
 def tail_fallback(spark, sf_dir):
-    """The guards of the tail threshold on short series: too few exceedances fall back to a percentile."""
-    s = signal(spark, sf_dir).where("n < 150")
-    u = s.groupBy("ch").agg(F.percentile("x", F.lit(0.95)).alias("u"), F.percentile("x", F.lit(1 - 2.0 / 150)).alias("f"), F.count("*").alias("c"))
-    x = s.join(u, "ch").groupBy("ch").agg(F.first("u").alias("u"), F.count_if(F.col("x") > F.col("u")).alias("n_exceed"), F.first("f").alias("f"), F.first("c").alias("c"), F.max("x").alias("m"))
-    return x.select("ch", r6("u").alias("u"), "n_exceed", r6(F.when(F.col("c") < 50, F.col("m") + 1).when(F.col("n_exceed") < 10, F.col("f"))).alias("threshold"))
+    """The guards of the tail threshold for each user's series: under 50 scores the maximum and 1, under 10 exceedances a percentile; null is left to the fit."""
+    s = table(spark, sf_dir, "events").select("user_id", F.col("value").alias("x"))
+    u = s.groupBy("user_id").agg(F.count("*").alias("c"), F.max("x").alias("m"), F.percentile("x", F.lit(0.95)).alias("u"), F.sort_array(F.collect_list("x")).alias("v"))
+    at = (F.col("c") - 1) * (1 - F.least(2.0 / F.col("c"), F.lit(1.0)))
+    value = lambda k: F.get("v", k.cast("int"))
+    f = value(F.floor(at)) + (at - F.floor(at)) * (value(F.ceil(at)) - value(F.floor(at)))
+    n = F.size(F.filter("v", lambda y: y > F.col("u"))).cast("long")
+    return u.select("user_id", n.alias("n_exceed"), r6(F.when(F.col("c") < 50, F.col("m") + 1).when(n < 10, f)).alias("threshold"))
 
 
 @query(None)
 def tail_threshold(spark, sf_dir):
-    """The fitted tail threshold of each channel's z-scores, with 2 expected exceedances."""
-    import pandas as pd
+    """The fitted tail threshold of each channel's z-scores, with 2 expected exceedances.
 
-    from ..functions.kernels import tail_threshold as limit
+    Only what lies over the 95th percentile is gathered for the fit.
+    """
+    from ..functions.kernels import tail_limit
 
     z = C.zscore(signal(spark, sf_dir), KEYS)
-    return z.groupBy("ch").applyInPandas(lambda p: pd.DataFrame({"ch": p.ch[:1], "threshold": [limit(p.z.to_numpy(), len(p), 2.0)]}), "ch string, threshold double")
+    u = z.groupBy("ch").agg(F.count("*").alias("many"), F.max("z").alias("top"), F.percentile("z", F.lit(0.95)).alias("u"))
+    over = z.join(u, "ch").where("z > u or z = top")
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        e = p.z[p.z > p.u.iloc[0]].to_numpy() - p.u.iloc[0]
+        return pd.DataFrame({"ch": p.ch[:1], "threshold": [tail_limit(e, float(p.u.iloc[0]), int(p.many.iloc[0]), float(p.top.iloc[0]), int(p.many.iloc[0]), 2.0)]})
+
+    return over.groupBy("ch").applyInPandas(fit, "ch string, threshold double")
 
 
 PEAKS = f"""{SIGNAL}, q AS (SELECT ch, n, floor(x / 10) AS x FROM signal), nw AS (SELECT ch, n, x, CASE WHEN lag(x) OVER w IS NULL OR lag(x) OVER w <> x THEN 1 ELSE 0 END AS nw FROM q WINDOW w AS (PARTITION BY ch ORDER BY n)),
@@ -222,13 +256,13 @@ def peak_suppression(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PEAKS}, p AS (SELECT ch, n, x AS h FROM peaks WHERE x >= 15),
-    m AS (SELECT p.ch, p.n, h, q.n AS i, q.x AS y, max(CASE WHEN q.n < p.n AND q.x > h THEN q.n END) OVER w AS lb, min(CASE WHEN q.n > p.n AND q.x > h THEN q.n END) OVER w AS rb FROM p JOIN q ON p.ch = q.ch AND abs(q.n - p.n) <= 200 WINDOW w AS (PARTITION BY p.ch, p.n))
-    SELECT ch, n, max(h) - greatest(min(y) FILTER (i <= n AND (lb IS NULL OR i > lb)), min(y) FILTER (i >= n AND (rb IS NULL OR i < rb))) AS prominence FROM m GROUP BY ch, n"""
+    f"""WITH {PEAKS}, p AS (SELECT ch, n, x AS h FROM peaks WHERE x >= 15), hi AS (SELECT p.ch, p.n, max(q.n) FILTER (q.n < p.n) AS lb, min(q.n) FILTER (q.n > p.n) AS rb FROM p LEFT JOIN q ON p.ch = q.ch AND q.x > p.h GROUP BY p.ch, p.n)
+    SELECT p.ch AS ch, CAST(p.n AS BIGINT) AS n, any_value(h) - greatest(min(q.x) FILTER (q.n <= p.n AND (lb IS NULL OR q.n > lb)), min(q.x) FILTER (q.n >= p.n AND (rb IS NULL OR q.n < rb))) AS prominence FROM p JOIN hi ON p.ch = hi.ch AND p.n = hi.n JOIN q ON q.ch = p.ch GROUP BY p.ch, p.n"""
 )
 def peak_prominence(spark, sf_dir):
+    """Prominences of all peaks of 15 or more, with bases as far out as the series goes."""
     x = coarse(spark, sf_dir)
-    return C.prominences(x, C.local_maxima(x, KEYS).where("x >= 15"), KEYS, 200)
+    return C.prominences(x, C.local_maxima(x, KEYS).where("x >= 15"), KEYS)
 
 
 @query(f"WITH {PEAKS} SELECT ch, n, x FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY x DESC, n) AS r FROM peaks) WHERE r <= 2")
@@ -239,15 +273,15 @@ def top_two(spark, sf_dir):
 @query(
     f"""WITH {SIGNAL}, s AS (SELECT ch, n, sqrt(avg(x * x) OVER (PARTITION BY ch ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) AS l, sqrt(avg(x * x) OVER (PARTITION BY ch ORDER BY n ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) AS r,
     count(*) OVER (PARTITION BY ch ORDER BY n ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS cl, count(*) OVER (PARTITION BY ch ORDER BY n ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS cr FROM signal)
-    SELECT ch, n, round(20 * log10(greatest(l, 1e-10)), 6) AS left_db, round(20 * log10(greatest(r, 1e-10)), 6) AS right_db FROM s WHERE n % 50 = 25 AND cl >= 2 AND cr >= 2 AND 20 * log10(greatest(l, 1e-10)) > 36.0 AND 20 * log10(greatest(r, 1e-10)) > 36.0"""
+    SELECT ch, n, round(20 * log10(greatest(l, 1e-10)), 5) AS left_db, round(20 * log10(greatest(r, 1e-10)), 5) AS right_db FROM s WHERE cl >= 2 AND cr >= 2 AND 20 * log10(greatest(l, 1e-10)) > 36.0 AND 20 * log10(greatest(r, 1e-10)) > 36.0"""
 )
 def quiet_side_reject(spark, sf_dir):
-    """Points stay whose ten samples before and after are both loud."""
+    """Samples stay whose ten samples before and after are both loud."""
     w = C.over(KEYS)
     left, right = w.rowsBetween(-10, -1), w.rowsBetween(0, 9)
     sq = F.col("x") * F.col("x")
     x = signal(spark, sf_dir).withColumns({"l": S.decibel(F.sqrt(F.avg(sq).over(left))), "r": S.decibel(F.sqrt(F.avg(sq).over(right))), "cl": F.count("x").over(left), "cr": F.count("x").over(right)})
-    return x.where("n % 50 = 25 and cl >= 2 and cr >= 2 and l > 36.0 and r > 36.0").select("ch", "n", r6("l").alias("left_db"), r6("r").alias("right_db"))
+    return x.where("cl >= 2 and cr >= 2 and l > 36.0 and r > 36.0").select("ch", "n", r6("l", 5).alias("left_db"), r6("r", 5).alias("right_db"))
 
 
 def _biquad(sr: int, cut: float = 2000.0) -> tuple[float, float, float]:
@@ -257,17 +291,19 @@ def _biquad(sr: int, cut: float = 2000.0) -> tuple[float, float, float]:
 
 
 B0, A1, A2 = _biquad(16000)
+TILE = 64
 
 
 @query(
-    f"""WITH RECURSIVE {SIGNAL}, f AS (SELECT ch, n, CAST({B0!r} AS DOUBLE) * x AS y, CAST({-2 * B0!r} AS DOUBLE) * x - CAST({A1!r} AS DOUBLE) * CAST({B0!r} AS DOUBLE) * x AS s1, CAST({B0!r} AS DOUBLE) * x - CAST({A2!r} AS DOUBLE) * CAST({B0!r} AS DOUBLE) * x AS s2 FROM signal WHERE n = 0
-    UNION ALL SELECT s.ch, s.n, CAST({B0!r} AS DOUBLE) * s.x + f.s1, CAST({-2 * B0!r} AS DOUBLE) * s.x - CAST({A1!r} AS DOUBLE) * (CAST({B0!r} AS DOUBLE) * s.x + f.s1) + f.s2, CAST({B0!r} AS DOUBLE) * s.x - CAST({A2!r} AS DOUBLE) * (CAST({B0!r} AS DOUBLE) * s.x + f.s1) FROM f JOIN signal s ON s.ch = f.ch AND s.n = f.n + 1 WHERE s.n < 80),
-    d AS (SELECT ch, n - 1 AS n, abs(y - lag(y) OVER (PARTITION BY ch ORDER BY n)) AS d FROM f)
-    SELECT ch, n, round(d, 6) AS steepest FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d DESC, n) AS r FROM d WHERE d IS NOT NULL) WHERE r = 1"""
+    f"""WITH RECURSIVE {SIGNAL}, f AS (SELECT ch, n, CAST({B0!r} AS DOUBLE) * x AS y, CAST({-2 * B0!r} AS DOUBLE) * x - CAST({A1!r} AS DOUBLE) * CAST({B0!r} AS DOUBLE) * x AS s1, CAST({B0!r} AS DOUBLE) * x - CAST({A2!r} AS DOUBLE) * CAST({B0!r} AS DOUBLE) * x AS s2 FROM signal WHERE n % {TILE} = 0
+    UNION ALL SELECT s.ch, s.n, CAST({B0!r} AS DOUBLE) * s.x + f.s1, CAST({-2 * B0!r} AS DOUBLE) * s.x - CAST({A1!r} AS DOUBLE) * (CAST({B0!r} AS DOUBLE) * s.x + f.s1) + f.s2, CAST({B0!r} AS DOUBLE) * s.x - CAST({A2!r} AS DOUBLE) * (CAST({B0!r} AS DOUBLE) * s.x + f.s1) FROM f JOIN signal s ON s.ch = f.ch AND s.n = f.n + 1 WHERE s.n % {TILE} <> 0),
+    d AS (SELECT ch, n // {TILE} AS tile, n - 1 AS n, abs(y - lag(y) OVER (PARTITION BY ch, n // {TILE} ORDER BY n)) AS d FROM f)
+    SELECT ch, tile, n, round(d, 6) AS steepest FROM (SELECT *, row_number() OVER (PARTITION BY ch, tile ORDER BY round(d, 9) DESC, n) AS r FROM d WHERE d IS NOT NULL) WHERE r = 1"""
 )
 def steepest_sample(spark, sf_dir):
-    """The steepest step of the high-passed first 80 samples; the filter is a fold over the slice."""
-    s = signal(spark, sf_dir).where("n < 80").groupBy("ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("v"))
+    """The steepest step of each tile of every series, high-passed from rest; the filter is a fold over the tile."""
+    s = signal(spark, sf_dir).withColumn("tile", F.floor(F.col("n") / TILE))
+    s = s.groupBy("ch", "tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("v"))
     start = F.expr("named_struct('y', cast(array() as array<double>), 's1', 0.0D, 's2', 0.0D)")
 
     def step(acc, x):
@@ -275,83 +311,6 @@ def steepest_sample(spark, sf_dir):
         return F.struct(F.concat(acc["y"], F.array(y)).alias("y"), (-2 * B0 * x - A1 * y + acc["s2"]).alias("s1"), (B0 * x - A2 * y).alias("s2"))
 
     y = F.aggregate("v", start, step, lambda a: a["y"])
-    s = s.select("ch", y.alias("y")).select("ch", F.zip_with(F.slice("y", 2, F.size("y") - 1), F.slice("y", 1, F.size("y") - 1), lambda b, a: F.abs(b - a)).alias("d"))
-    s = s.select("ch", F.posexplode("d").alias("n", "d"))
-    best = s.groupBy("ch").agg(F.max(F.struct(F.col("d"), (-F.col("n")).alias("m"))).alias("b"))
-    return best.select("ch", (-F.col("b.m")).cast("long").alias("n"), r6("b.d").alias("steepest"))
-
-
-# The queries above that have SQL run over cuts of their table, as their SQL does; these run over all samples.
-
-
-@query(None)
-def percentile_threshold_whole(spark, sf_dir):
-    """percentile_threshold over every sample."""
-    z = C.zscore(signal(spark, sf_dir), KEYS)
-    return z.groupBy("ch").agg(r6(F.greatest(F.percentile("z", F.lit(0.999)), F.lit(4.0))).alias("threshold"), F.count("*").alias("n"))
-
-
-@query(None)
-def tail_fallback_whole(spark, sf_dir):
-    """tail_fallback over each whole series, the percentile 1 - 2 / count interpolated; a null threshold is left to the fit of tail_threshold."""
-    s = signal(spark, sf_dir)
-    s = s.withColumns({"c": F.count("*").over(Window.partitionBy("ch")), "r": F.row_number().over(Window.partitionBy("ch").orderBy("x")) - 1})
-    s = s.withColumn("at", F.greatest((F.col("c") - 1) * (1 - 2.0 / F.col("c")), F.lit(0.0)))
-    low, high = (F.max(F.when(F.col("r") == f("at"), F.col("x"))) for f in (F.floor, F.ceil))
-    u = s.groupBy("ch").agg(F.percentile("x", F.lit(0.95)).alias("u"), (low + (F.max("at") - F.floor(F.max("at"))) * (high - low)).alias("f"))
-    x = s.join(u, "ch").groupBy("ch").agg(F.first("u").alias("u"), F.count_if(F.col("x") > F.col("u")).alias("n_exceed"), F.first("f").alias("f"), F.first("c").alias("c"), F.max("x").alias("m"))
-    return x.select("ch", r6("u").alias("u"), "n_exceed", r6(F.when(F.col("c") < 50, F.col("m") + 1).when(F.col("n_exceed") < 10, F.col("f"))).alias("threshold"))
-
-
-@query(None)
-def peak_prominence_whole(spark, sf_dir):
-    """Prominences of all peaks of 15 or more, with bases as far out as the series goes."""
-    import numpy as np
-    import pandas as pd
-
-    x = coarse(spark, sf_dir)
-    top = C.local_maxima(x, KEYS).where("x >= 15").select("ch", "n", F.lit(True).alias("top"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("n")
-        v, at, found = p.x.to_numpy(), np.flatnonzero(p.top.to_numpy()), []
-        for i in at:
-            higher = np.flatnonzero(v > v[i])
-            k = np.searchsorted(higher, i)
-            left = higher[k - 1] + 1 if k else 0
-            right = higher[k] if k < len(higher) else len(v)
-            found.append(v[i] - max(v[left : i + 1].min(), v[i:right].min()))
-        return pd.DataFrame({"ch": p.ch.to_numpy()[at], "n": p.n.to_numpy()[at], "prominence": np.array(found, float)})
-
-    joined = x.join(top, ["ch", "n"], "left").select("ch", "n", "x", F.coalesce("top", F.lit(False)).alias("top"))
-    return joined.groupBy("ch").applyInPandas(run, "ch string, n long, prominence double")
-
-
-@query(None)
-def quiet_side_reject_whole(spark, sf_dir):
-    """quiet_side_reject at every sample."""
-    w = C.over(KEYS)
-    left, right = w.rowsBetween(-10, -1), w.rowsBetween(0, 9)
-    sq = F.col("x") * F.col("x")
-    x = signal(spark, sf_dir).withColumns({"l": S.decibel(F.sqrt(F.avg(sq).over(left))), "r": S.decibel(F.sqrt(F.avg(sq).over(right))), "cl": F.count("x").over(left), "cr": F.count("x").over(right)})
-    return x.where("cl >= 2 and cr >= 2 and l > 36.0 and r > 36.0").select("ch", "n", r6("l").alias("left_db"), r6("r").alias("right_db"))
-
-
-@query(None)
-def steepest_sample_whole(spark, sf_dir):
-    """The steepest step of each whole series, high-passed by the recursion of steepest_sample."""
-    import pandas as pd
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        s1 = s2 = last = 0.0
-        best, at = -1.0, -1
-        for n, x in enumerate(p.sort_values("n").x.tolist()):
-            y = B0 * x + s1
-            s1, s2 = -2 * B0 * x - A1 * y + s2, B0 * x - A2 * y
-            if n and abs(y - last) > best:
-                best, at = abs(y - last), n - 1
-            last = y
-        return pd.DataFrame({"ch": p.ch[:1], "n": [at], "steepest": [best]})[lambda d: d.n >= 0]
-
-    x = signal(spark, sf_dir).groupBy("ch").applyInPandas(run, "ch string, n long, steepest double")
-    return x.select("ch", "n", r6("steepest").alias("steepest"))
+    s = s.where(F.size("v") > 1).select("ch", "tile", y.alias("y")).select("ch", "tile", F.zip_with(F.slice("y", 2, F.size("y") - 1), F.slice("y", 1, F.size("y") - 1), lambda b, a: F.abs(b - a)).alias("d"))
+    best = F.array_min(F.transform("d", lambda d, i: F.struct((-F.round(d, 9)).alias("m"), i.alias("i"), d.alias("d"))))
+    return s.withColumn("b", best).select("ch", "tile", (F.col("tile") * TILE + F.col("b.i")).alias("n"), r6("b.d").alias("steepest"))

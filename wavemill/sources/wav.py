@@ -60,12 +60,13 @@ def encode(x: np.ndarray, sr: int) -> bytes:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) as signals; a file that does not decode ends the query."""
+    """``files`` (path, content) as signals, one file at a time; a file that does not decode ends the query."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = [decode(bytes(c)) for c in part.content]
-            yield pd.DataFrame({"file_id": part.path, "sr": [sr for _, sr in got], "n_samples": [len(x) for x, _ in got], "samples": [x for x, _ in got]})
+            for path, content in zip(part.path, part.content):
+                x, sr = decode(bytes(content))
+                yield pd.DataFrame({"file_id": [path], "sr": [sr], "n_samples": [len(x)], "samples": [x]})
 
     return files.select("path", "content").mapInPandas(run, SIGNALS)
 
