@@ -215,7 +215,7 @@ class JaccardJoin:
         post = reps.mapInArrow(run, "t long, d long, n int, p long")
         ordered = Window.partitionBy("t").orderBy(F.shiftright("p", 40).desc(), F.xxhash64("d"), "d")
         post = post.withColumn("r", F.row_number().over(ordered)).withColumn("_next", F.lead("d").over(ordered))
-        post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").select("t", "d", "n", (F.col("p") % (1 << 40)).cast("int").alias("p"), "r"), "postings", "t")
+        post = self.ws.save_bucketed(post.where("r > 1 or _next is not null").select("t", "d", "n", (F.col("p") % (1 << 40)).cast("int").alias("p"), "r"), "postings", "t", hashes=True)
         involved = post.select("d").distinct()
         self.texts = self.ws.save_bucketed(self.docs.join(involved, "d", "left_semi"), "texts", "d")
         return post
@@ -309,7 +309,7 @@ class JaccardJoin:
             lists, main = self._posted, None
             if groups is not None:
                 lists = lists.join(groups.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
-                lists = self.ws.save_bucketed(lists, f"lists{k}", "t")
+                lists = self.ws.save_bucketed(lists, f"lists{k}", "t", hashes=True)
                 main = lists.groupBy("t", "c").agg(F.count("*").alias("n")).groupBy("t").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
                 main = main.where(F.col("top.n") < F.col("all")).select("t", F.col("top.c").alias("main"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("work"))
                 main = self.ws.save_bucketed(main, f"main{k}", "t", shuffle=False)

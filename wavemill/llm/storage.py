@@ -13,8 +13,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: With this, the shuffle files of a write go as soon as it is done: what it wrote replaces them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: its shuffle files go as soon as it is done, as what it wrote replaces
+#: them; and buckets, each of which is one sorted file here, are read as sorted, and grouped by streaming.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,34 +56,39 @@ class Workspace:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     @contextmanager
-    def _shuffles_freed(self) -> Iterator[None]:
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+    def _writing(self) -> Iterator[None]:
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WHILE_WRITING}
+        for k, v in WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             yield
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back: a cut of the lineage."""
-        with self._shuffles_freed():
+        with self._writing():
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def save_bucketed(self, df: DataFrame, name: str, *keys: str, shuffle: bool = True) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, name: str, *keys: str, shuffle: bool = True, hashes: bool = False) -> DataFrame:
         """Like ``save``, sorted in buckets of ``keys``: joins and groups by just these keys need no shuffle.
 
         Without ``shuffle``, ``df`` is dealt by the keys already. Unions of such tables keep the buckets.
+        Tables of ``hashes`` hardly compress, so they are written plainly.
         The name that Spark needs to write buckets is gone when this returns, the files stay.
         """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
         out = (df.repartition(buckets, *keys) if shuffle else df).write.bucketBy(buckets, *keys).sortBy(*keys)
-        with self._shuffles_freed():
-            out.format("parquet").option("compression", "zstd").option("path", self.path(name)).saveAsTable(table)
+        with self._writing():
+            out = out.format("parquet").option("compression", "snappy" if hashes else "zstd").option("parquet.enable.dictionary", str(not hashes).lower())
+            out.option("path", self.path(name)).saveAsTable(table)
         found = self.spark.table(table)
         found.schema  # resolved now, by the files
         self.spark.sql(f"DROP TABLE {table}")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Workspace, unused
@@ -152,10 +152,15 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(WINDOWS, salt, salt, _longs(d[docs]), _longs(k[docs]), _ints(np.full(len(docs), -1)), _lists(s), _lists(c), pa.array(new[docs]))
 
 
+def _only(prefix: str = "") -> list[Column]:
+    """Where the one row of a group is; of no use for groups of more."""
+    return [F.max(c).alias(f"{prefix}{c}") for c in ("d", "k", "pos")]
+
+
 class FingerprintIndex:
     """Sorted, immutable runs in a workspace, in buckets of their key: ``anchors`` and first ``windows``.
 
-    Runs of anchors: h, n (1, or 2 for more), at (d, k and pos of the first); of windows: w, v. A key may
+    Runs of anchors: h, n (1, or 2 for more), and d, k, pos, which tell where if n is 1; of windows: w, v. A key may
     be in several runs. What was indexed is in ``texts``, d, k, text, in buckets of d and k.
     """
 
@@ -182,9 +187,9 @@ class FingerprintIndex:
         self.compactions += 1
         rows, name = self.history(kind), f"compacted-{kind}-{self.compactions}"
         if kind == "anchors":
-            run = self.ws.save_bucketed(rows.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("at").alias("at")), name, "h", shuffle=False)
+            run = self.ws.save_bucketed(rows.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), *_only()), name, "h", shuffle=False, hashes=True)
         else:
-            run = self.ws.save_bucketed(rows.groupBy("w", "v").agg(F.lit(False).alias("seen")).select("w", "v"), name, "w", "v", shuffle=False)
+            run = self.ws.save_bucketed(rows.groupBy("w", "v").agg(F.lit(False).alias("seen")).select("w", "v"), name, "w", "v", shuffle=False, hashes=True)
         self.ws.drop(*[table for table, _ in self.runs[kind]])
         self.runs[kind] = [(name, run)]
 
@@ -196,25 +201,25 @@ class FingerprintIndex:
         """
         ws, name = self.ws, f"batch{self.made}"
         self.made += 1
-        raw = ws.save_bucketed(docs.select("d", "k", "text").mapInArrow(_anchor_rows, ANCHORS), f"{name}-raw", "h")
-        own = raw.where("more is null").groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("d", "k", "pos")).alias("at"))
+        raw = ws.save_bucketed(docs.select("d", "k", "text").mapInArrow(_anchor_rows, ANCHORS), f"{name}-raw", "h", hashes=True)
+        own = raw.where("more is null").groupBy("h").agg(F.sum("n").alias("n"), *_only())
         past = self.history("anchors")
         if past is None:
-            own = own.withColumns({"before": F.lit(0), "old": F.lit(None).cast("struct<d:long,k:long,pos:int>")})
+            own = own.withColumns({"before": F.lit(0), "old_d": F.lit(None).cast("long"), "old_k": F.lit(None).cast("long"), "old_pos": F.lit(None).cast("int")})
         else:
-            past = past.groupBy("h").agg(F.sum("n").cast("int").alias("before"), F.min("at").alias("old"))
+            past = past.groupBy("h").agg(F.sum("n").cast("int").alias("before"), *_only("old_"))
             own = own.join(past.hint("merge"), "h", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        own = ws.save_bucketed(own.withColumn("n", F.least("n", F.lit(2)).cast("int")), f"{name}-anchors", "h", shuffle=False)
+        own = ws.save_bucketed(own.withColumn("n", F.least("n", F.lit(2)).cast("int")), f"{name}-anchors", "h", shuffle=False, hashes=True)
         met = raw.where("more is null").join(own.where("n + before > 1").select("h").hint("merge"), "h", "left_semi")
         places = raw.where("more is not null").select("d", "k", "more", F.lit(True).alias("new"))
         places = places.unionByName(met.select("d", "k", F.array("pos").alias("more"), F.lit(True).alias("new")))
-        places = places.unionByName(own.where("before = 1").select("old.d", "old.k", F.array("old.pos").alias("more"), F.lit(False).alias("new")))
+        places = places.unionByName(own.where("before = 1").select(F.col("old_d").alias("d"), F.col("old_k").alias("k"), F.array("old_pos").alias("more"), F.lit(False).alias("new")))
         hits = places.groupBy("d", "k").agg(F.flatten(F.collect_list("more")).alias("hits"), F.max("new").alias("new"))
         found = texts.select("d", "k", "text").join(hits, ["d", "k"]).select("d", "k", "text", "new", "hits").mapInArrow(_window_rows, WINDOWS)
-        found = ws.save_bucketed(found, f"{name}-found", "w", "v")
+        found = ws.save_bucketed(found, f"{name}-found", "w", "v", hashes=True)
         ws.drop(f"{name}-raw")
         if not last:
-            self.add("anchors", own.where("before < 2").select("h", "n", "at"), f"{name}-anchors")
+            self.add("anchors", own.where("before < 2").select("h", "n", "d", "k", "pos"), f"{name}-anchors")
         first = F.struct(F.col("new").alias("new"), "d", "k", "pos")
         heads = found.where("starts is null").groupBy("w", "v").agg(F.min(first).alias("first"))
         past = self.history("windows")
@@ -224,7 +229,7 @@ class FingerprintIndex:
             past = past.groupBy("w", "v").agg(F.lit(True).alias("seen"))
             heads = heads.join(past.hint("merge"), ["w", "v"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
         if not last:
-            heads = ws.save_bucketed(heads, f"{name}-windows", "w", "v", shuffle=False)
+            heads = ws.save_bucketed(heads, f"{name}-windows", "w", "v", shuffle=False, hashes=True)
         again = found.where("starts is null and new").join(heads.hint("merge"), ["w", "v"]).where(F.col("seen") | (first > F.col("first")))
         runs = found.where("starts is not null").select("d", "k", F.col("starts").alias("s"), F.col("counts").alias("c"))
         runs = runs.unionByName(again.select("d", "k", F.array("pos").alias("s"), F.array(F.lit(1)).alias("c")))
