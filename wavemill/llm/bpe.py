@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from .storage import Workspace
 from .words import chunks, widened
 
 #: The most frequent words of a corpus that are encoded once for all of it, at most so many ...
-COMMON_WORDS = 200_000
+COMMON_WORDS = 400_000
 #: ... and none of more bytes, so what is sent to the executors is bounded.
 COMMON_BYTES = 64
 #: Bytes of further words that a worker keeps for its next texts.
@@ -108,15 +110,17 @@ class Vocabulary:
             begin = end
         heap = list(ranked)
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
+            rank = pop(heap)
             pairs = ranked.pop(rank, None)
             if pairs is None:
                 continue
             places = index.pop(pairs[0])
             for p in pairs[1:]:
                 places += index.pop(p)
-            places.sort()
+            if len(places) > 1:
+                places.sort()
             lower_until = -1  # places before this position belong to a word that has a lower pair now
             later: list[int] = []
             for i in places:
@@ -141,9 +145,15 @@ class Vocabulary:
                     if r >= 0:
                         if pair in index:
                             index[pair].append(i)
-                        elif place(pair, r, i):
-                            heapq.heappush(heap, r)
-                        least = min(least, r)
+                        else:
+                            index[pair] = [i]
+                            if r in ranked:
+                                ranked[r].append(pair)
+                            else:
+                                ranked[r] = [pair]
+                                push(heap, r)
+                        if r < least:
+                            least = r
                 if h >= 0:
                     pair = tok[h] * base + rank
                     r = merges.get(pair)
@@ -152,16 +162,22 @@ class Vocabulary:
                     if r >= 0:
                         if pair in index:
                             index[pair].append(h)
-                        elif place(pair, r, h):
-                            heapq.heappush(heap, r)
-                        least = min(least, r)
+                        else:
+                            index[pair] = [h]
+                            if r in ranked:
+                                ranked[r].append(pair)
+                            else:
+                                ranked[r] = [pair]
+                                push(heap, r)
+                        if r < least:
+                            least = r
                 if least < rank:
                     while k >= 0:  # to the word's end
                         lower_until, k = k + 1, nxt[k]
                     lower_until = max(lower_until, i + 1)
             for i in later:
                 if place(tok[i] * base + tok[nxt[i]], rank, i):
-                    heapq.heappush(heap, rank)
+                    push(heap, rank)
         for w, i in zip(todo, begins):
             ids = []
             while i >= 0:
@@ -170,9 +186,6 @@ class Vocabulary:
             out[w] = tuple(ids)
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
-
 
 def _utf8(word: str) -> bytes:
     return word.encode("utf-8", "surrogatepass")
@@ -183,27 +196,40 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, known: Mapping[bytes, Iterable[int]] | None = None):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.kept: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-        self.bytes = 0
-        for word, ids in (known or {}).items():
-            self._keep(word.decode("utf-8", "surrogatepass"), ids)
-        self.common = dict(self.kept)
-
-    def _keep(self, word: str, ids: Iterable[int]) -> None:
-        self.kept[word] = (tuple(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
-        """For each text its pieces, in order: ids, the same in decimal, and the bytes they decode to."""
+        self.decimal: dict[str, str] = {}  #: a word's ids
+        self.decoded: dict[str, bytes] = {}  #: the bytes that they decode to
+        self.common, self.bytes = known or {}, 0
+        self._keep(self.common)
+
+    def _keep(self, encoded: Mapping[bytes, Iterable[int]]) -> None:
+        tokens = self.vocabulary.tokens
+        for word, ids in encoded.items():
+            w = word.decode("utf-8", "surrogatepass")
+            self.decimal[w] = " ".join(map(str, ids))
+            self.decoded[w] = b"".join([tokens[i] for i in ids])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         if self.bytes > KEPT_BYTES:
-            self.kept, self.bytes = dict(self.common), 0
+            self.decimal, self.decoded, self.bytes = {}, {}, 0
+            self._keep(self.common)
         pieces = [self.split(t) for t in texts]
-        new = set().union(*pieces).difference(self.kept)
-        words = {_utf8(p): p for p in new}
-        for w, ids in self.vocabulary.replay(words).items():
-            self._keep(words[w], ids)
-            self.bytes += len(w)
-        at = self.kept.__getitem__
-        return (list(map(at, x)) for x in pieces)
+        new = [_utf8(p) for p in set().union(*pieces).difference(self.decimal)]
+        self._keep(self.vocabulary.replay(new))
+        self.bytes += sum(map(len, new))
+        decimal, decoded = self.decimal.__getitem__, self.decoded.__getitem__
+        return ((" ".join(map(decimal, x)), b"".join(map(decoded, x))) for x in pieces)
+
+
+#: The codec of the last broadcast vocabulary, which a worker keeps from task to task.
+_last: dict[str, Codec] = {}
+
+
+def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: Mapping[bytes, Iterable[int]]) -> Codec:
+    if key not in _last:
+        _last.clear()
+        _last[key] = Codec(Vocabulary(ranks), pattern, known)
+    return _last[key]
 
 
 def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> dict[bytes, list[int]]:
@@ -257,27 +283,25 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Worksp
     """
     spark = docs.sparkSession
     known = common_words(docs, ranks, pattern, ws, text=text) if ws is not None else {}
-    sent = spark.sparkContext.broadcast((dict(ranks), pattern, known))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(ranks), pattern, known))
     docs, schema = widened(docs, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(sent.value[0]), *sent.value[1:])
+        codec = codec_of(*sent.value)
         sha = hashlib.sha256
         for part in chunks(batches, text):
             n_tokens, flat, ends, coded, decoded = [], [], [0], [], []
             texts = [t or "" for t in part.column(text).to_pylist()]
-            for pieces in codec.encode(texts):
-                decimal = " ".join([p[1] for p in pieces])
+            for decimal, read_back in codec.encode(texts):
                 n_tokens.append(decimal.count(" ") + 1 if decimal else 0)
                 coded.append(sha(decimal.encode()).hexdigest())
-                decoded.append(sha(b"".join([p[2] for p in pieces])).hexdigest())
+                decoded.append(sha(read_back).hexdigest())
                 if ids:
-                    for p in pieces:
-                        flat.extend(p[0])
-                    ends.append(len(flat))
+                    flat.append(np.array(decimal.split(), np.int32) if decimal else np.zeros(0, np.int32))
+                    ends.append(ends[-1] + n_tokens[-1])
             more = [pa.array(n_tokens, pa.int64())]
             if ids:
-                more.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+                more.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))))
             more += [pa.array(coded), pa.array(decoded)]
             names = part.schema.names + ["n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"]
             yield from pa.Table.from_arrays([*part.columns, *more], names).combine_chunks().to_batches()
