@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import uuid
@@ -24,6 +25,10 @@ COMMON_WORDS = 400_000
 COMMON_BYTES = 64
 #: Bytes of further words that a worker keeps for its next texts.
 KEPT_BYTES = 4 << 20
+#: Bytes of words that are replayed at once while texts go through: their index then stays in a core's cache.
+REPLAY_BYTES = 16 << 10
+#: Bytes of text whose words are counted at once.
+COUNT_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -215,8 +220,15 @@ class Codec:
             self._keep(self.common)
         pieces = [self.split(t) for t in texts]
         new = [_utf8(p) for p in set().union(*pieces).difference(self.decimal)]
-        self._keep(self.vocabulary.replay(new))
-        self.bytes += sum(map(len, new))
+        part, size = [], 0
+        for w in new:
+            part.append(w)
+            size += len(w)
+            if size >= REPLAY_BYTES:
+                self._keep(self.vocabulary.replay(part))
+                self.bytes, part, size = self.bytes + size, [], 0
+        self._keep(self.vocabulary.replay(part))
+        self.bytes += size
         decimal, decoded = self.decimal.__getitem__, self.decoded.__getitem__
         return ((" ".join(map(decimal, x)), b"".join(map(decoded, x))) for x in pieces)
 
@@ -229,6 +241,7 @@ def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: Mapping[
     if key not in _last:
         _last.clear()
         _last[key] = Codec(Vocabulary(ranks), pattern, known)
+        gc.freeze()  # what stays need not be looked through for cycles again and again
     return _last[key]
 
 
@@ -242,7 +255,7 @@ def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = sent.value[0], regex.compile(sent.value[1]).findall
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, COUNT_BYTES):
             found: Counter[str] = Counter()
             for t in part.column(text).to_pylist():
                 found.update(split(t or ""))
@@ -278,7 +291,7 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Worksp
     gives no rows.
 
     With a workspace, the corpus's common words are encoded first, once (see ``common_words``), and sent
-    to the executors; the other distinct words are replayed part by part as the texts go through,
+    to the executors; the other distinct words of a part of the texts are replayed as it goes through,
     without a shuffle of texts. A part is about 2 MB of texts, or one longer text.
     """
     spark = docs.sparkSession
