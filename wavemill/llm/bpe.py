@@ -26,7 +26,7 @@ COMMON_BYTES = 64
 #: Bytes of further words that a worker keeps for its next texts.
 KEPT_BYTES = 4 << 20
 #: Bytes of words that are replayed at once while texts go through: their index then stays in a core's cache.
-REPLAY_BYTES = 16 << 10
+REPLAY_BYTES = 10 << 10
 #: Bytes of text whose words are counted at once.
 COUNT_BYTES = 8 << 20
 
@@ -43,6 +43,7 @@ class Vocabulary:
     def __init__(self, ranks: Mapping[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        self.decimal = {r: str(r) for r in self.tokens}
         self.base = max(self.tokens, default=0) + 1
         self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
         self.merges: dict[int, int] = {}
@@ -204,30 +205,29 @@ class Codec:
         self.decimal: dict[str, str] = {}  #: a word's ids
         self.decoded: dict[str, bytes] = {}  #: the bytes that they decode to
         self.common, self.bytes = known or {}, 0
-        self._keep(self.common)
+        self._keep({w.decode("utf-8", "surrogatepass"): w for w in self.common}, self.common)
 
-    def _keep(self, encoded: Mapping[bytes, Iterable[int]]) -> None:
-        tokens = self.vocabulary.tokens
-        for word, ids in encoded.items():
-            w = word.decode("utf-8", "surrogatepass")
-            self.decimal[w] = " ".join(map(str, ids))
-            self.decoded[w] = b"".join([tokens[i] for i in ids])
+    def _keep(self, words: Mapping[str, bytes], encoded: Mapping[bytes, Iterable[int]]) -> None:
+        tokens, names = self.vocabulary.tokens, self.vocabulary.decimal
+        for word, raw in words.items():
+            ids = encoded[raw]
+            self.decimal[word] = " ".join([names[i] for i in ids])
+            self.decoded[word] = b"".join([tokens[i] for i in ids])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         if self.bytes > KEPT_BYTES:
             self.decimal, self.decoded, self.bytes = {}, {}, 0
-            self._keep(self.common)
+            self._keep({w.decode("utf-8", "surrogatepass"): w for w in self.common}, self.common)
         pieces = [self.split(t) for t in texts]
-        new = [_utf8(p) for p in set().union(*pieces).difference(self.decimal)]
-        part, size = [], 0
-        for w in new:
-            part.append(w)
-            size += len(w)
+        part, size = {}, 0
+        for word in set().union(*pieces).difference(self.decimal):
+            part[word] = raw = word.encode("utf-8", "surrogatepass")
+            size += len(raw)
             if size >= REPLAY_BYTES:
-                self._keep(self.vocabulary.replay(part))
-                self.bytes, part, size = self.bytes + size, [], 0
-        self._keep(self.vocabulary.replay(part))
+                self._keep(part, self.vocabulary.replay(part.values()))
+                self.bytes, part, size = self.bytes + size, {}, 0
+        self._keep(part, self.vocabulary.replay(part.values()))
         self.bytes += size
         decimal, decoded = self.decimal.__getitem__, self.decoded.__getitem__
         return ((" ".join(map(decimal, x)), b"".join(map(decoded, x))) for x in pieces)
