@@ -200,44 +200,53 @@ def _utf8(word: str) -> bytes:
 class Codec:
     """Encodes many texts, with what is known of the corpus's common words, and keeps further words for a while."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, known: Mapping[bytes, Iterable[int]] | None = None):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, known: pa.Table | None = None):
+        """``known`` has columns word and ids (see ``common_table``); what was learned from it stays."""
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.decimal: dict[str, str] = {}  #: a word's ids
-        self.decoded: dict[str, bytes] = {}  #: the bytes that they decode to
-        self.common, self.bytes = known or {}, 0
-        self._keep({w.decode("utf-8", "surrogatepass"): w for w in self.common}, self.common)
-
-    def _keep(self, words: Mapping[str, bytes], encoded: Mapping[bytes, Iterable[int]]) -> None:
-        tokens, names = self.vocabulary.tokens, self.vocabulary.decimal
-        for word, raw in words.items():
-            ids = encoded[raw]
-            self.decimal[word] = " ".join([names[i] for i in ids])
-            self.decoded[word] = b"".join([tokens[i] for i in ids])
+        self.words: dict[str, tuple[str, bytes]] = {}  #: a word's ids in decimal, and the bytes that they decode to
+        self.further: list[str] = []  #: words beside the common ones
+        self.bytes = 0  #: ... and their size
+        for part in known.to_batches(max_chunksize=10_000) if known is not None else []:
+            raw = part.column(0).to_pylist()
+            self._keep([w.decode("utf-8", "surrogatepass") for w in raw], part.column(1).to_pylist())
+
+    def _keep(self, words: Iterable[str], encoded: Iterable[Iterable[int]]) -> None:
+        token, name, kept = self.vocabulary.tokens.__getitem__, self.vocabulary.decimal.__getitem__, self.words
+        for word, ids in zip(words, encoded):
+            kept[word] = " ".join(map(name, ids)), b"".join(map(token, ids))
+
+    def _learn(self, words: list[str], raw: list[bytes]) -> None:
+        self._keep(words, map(self.vocabulary.replay(raw).__getitem__, raw))
+        self.further += words
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids in decimal, joined by one space, and the bytes that they decode to."""
         if self.bytes > KEPT_BYTES:
-            self.decimal, self.decoded, self.bytes = {}, {}, 0
-            self._keep({w.decode("utf-8", "surrogatepass"): w for w in self.common}, self.common)
+            for word in self.further:
+                del self.words[word]
+            self.further, self.bytes = [], 0
         pieces = [self.split(t) for t in texts]
-        part, size = {}, 0
-        for word in set().union(*pieces).difference(self.decimal):
-            part[word] = raw = word.encode("utf-8", "surrogatepass")
+        part, raws, size = [], [], 0
+        for word in set().union(*pieces).difference(self.words):
+            raw = _utf8(word)
+            part.append(word)
+            raws.append(raw)
             size += len(raw)
             if size >= REPLAY_BYTES:
-                self._keep(part, self.vocabulary.replay(part.values()))
-                self.bytes, part, size = self.bytes + size, {}, 0
-        self._keep(part, self.vocabulary.replay(part.values()))
+                self._learn(part, raws)
+                self.bytes, part, raws, size = self.bytes + size, [], [], 0
+        self._learn(part, raws)
         self.bytes += size
-        decimal, decoded = self.decimal.__getitem__, self.decoded.__getitem__
-        return ((" ".join(map(decimal, x)), b"".join(map(decoded, x))) for x in pieces)
+        for text in pieces:
+            found = list(map(self.words.__getitem__, text))
+            yield " ".join([d for d, _ in found]), b"".join([b for _, b in found])
 
 
 #: The codec of the last broadcast vocabulary, which a worker keeps from task to task.
 _last: dict[str, Codec] = {}
 
 
-def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: Mapping[bytes, Iterable[int]]) -> Codec:
+def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: pa.Table | None) -> Codec:
     if key not in _last:
         _last.clear()
         _last[key] = Codec(Vocabulary(ranks), pattern, known)
@@ -245,8 +254,8 @@ def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: Mapping[
     return _last[key]
 
 
-def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> dict[bytes, list[int]]:
-    """The ids of the corpus's most frequent words that are no tokens themselves, each encoded once.
+def common_table(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> pa.Table:
+    """The corpus's most frequent words that are no tokens themselves, each encoded once: word, ids.
 
     All words of all texts are counted; the words of the highest counts, by powers of two, are
     taken as long as they are at most ``most``. One replay goes over the distinct words of a partition.
@@ -278,6 +287,12 @@ def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws:
 
     got = words.where(F.col("n") >= least).select("word").mapInArrow(encoded, "word binary, ids array<int>").toArrow()
     ws.drop("words")
+    return got.combine_chunks()
+
+
+def common_words(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> dict[bytes, list[int]]:
+    """``common_table`` as a dictionary."""
+    got = common_table(docs, ranks, pattern, ws, text=text, most=most)
     return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
 
@@ -290,12 +305,12 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Worksp
     Repeated rows are encoded alike; other columns stay, but for any of a result's name. An empty table
     gives no rows.
 
-    With a workspace, the corpus's common words are encoded first, once (see ``common_words``), and sent
+    With a workspace, the corpus's common words are encoded first, once (see ``common_table``), and sent
     to the executors; the other distinct words of a part of the texts are replayed as it goes through,
     without a shuffle of texts. A part is about 2 MB of texts, or one longer text.
     """
     spark = docs.sparkSession
-    known = common_words(docs, ranks, pattern, ws, text=text) if ws is not None else {}
+    known = common_table(docs, ranks, pattern, ws, text=text) if ws is not None else None
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, dict(ranks), pattern, known))
     docs, schema = widened(docs, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string", text)
 
