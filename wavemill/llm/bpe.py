@@ -20,7 +20,7 @@ from .storage import Workspace
 from .words import chunks, widened
 
 #: The most frequent words of a corpus that are encoded once for all of it, at most so many ...
-COMMON_WORDS = 400_000
+COMMON_WORDS = 600_000
 #: ... and none of more bytes, so what is sent to the executors is bounded.
 COMMON_BYTES = 64
 #: Bytes of further words that a worker keeps for its next texts.
@@ -257,8 +257,8 @@ def codec_of(key: str, ranks: Mapping[bytes, int], pattern: str, known: pa.Table
 def common_table(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws: Workspace, *, text: str = "text", most: int = COMMON_WORDS) -> pa.Table:
     """The corpus's most frequent words that are no tokens themselves, each encoded once: word, ids.
 
-    All words of all texts are counted; the words of the highest counts, by powers of two, are
-    taken as long as they are at most ``most``. One replay goes over the distinct words of a partition.
+    All words of all texts are counted; the words of the highest counts, by quarters of a power of two,
+    are taken as long as they are at most ``most``. One replay goes over the distinct words of a partition.
     """
     sent = docs.sparkSession.sparkContext.broadcast((dict(ranks), pattern))
 
@@ -273,11 +273,11 @@ def common_table(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws:
 
     words = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = ws.save(words, "words")
-    power, taken, least = F.floor(F.log2("n")).cast("int").alias("power"), 0, 0
-    for r in words.groupBy(power).count().orderBy(F.desc("power")).collect():  # at most 63 rows
+    level, taken, least = F.floor(F.log2("n") * 4).cast("int").alias("level"), 0, 0
+    for r in words.groupBy(level).count().orderBy(F.desc("level")).collect():  # at most 252 rows
         taken += r["count"]
         if taken > most:
-            least = 2 ** (r["power"] + 1)
+            least = r["level"] + 1
             break
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def common_table(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, ws:
         ids = Vocabulary(sent.value[0]).replay(mine)
         yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array([ids[w] for w in mine], pa.list_(pa.int32()))], ["word", "ids"])
 
-    got = words.where(F.col("n") >= least).select("word").mapInArrow(encoded, "word binary, ids array<int>").toArrow()
+    got = words.where(level >= least).select("word").mapInArrow(encoded, "word binary, ids array<int>").toArrow()
     ws.drop("words")
     return got.combine_chunks()
 
