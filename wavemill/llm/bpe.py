@@ -24,7 +24,7 @@ COMMON_WORDS = 600_000
 #: ... and none of more bytes, so what is sent to the executors is bounded.
 COMMON_BYTES = 64
 #: Bytes of further words that a worker keeps for its next texts.
-KEPT_BYTES = 4 << 20
+KEPT_BYTES = 1 << 20
 #: Bytes of words that are replayed at once while texts go through: their index then stays in a core's cache.
 REPLAY_BYTES = 10 << 10
 #: Bytes of text whose words are counted at once.
