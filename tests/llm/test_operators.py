@@ -310,6 +310,34 @@ def test_takings_and_positions_against_brute_force(spark, docs, tmp_path):
     assert sorted(r._row for r in plain.collect()) == sorted(r._row for r in got)  # repeated rows: the same ones again
 
 
+def test_op4_rows_come_from_the_training_order(spark, docs, tmp_path):
+    void = spark.createDataFrame([(900, ""), (901, None)], "doc_id long, text string").withColumn("source", F.lit("void"))
+    own = docs.select("doc_id", "text", "source").unionByName(void).union(docs.select("doc_id", "text", "source").where("doc_id % 9 = 0"))
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    own = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    size = collections.Counter({i: len(words(t)) for i, t in DOCS})
+    rows = [(r.doc_id, r.source, size[r.doc_id], r.h) for r in own.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h")).collect()]
+    total = collections.Counter()
+    for _, s, n, _ in rows:
+        total[s] += n
+    want = brute_mix(rows, {s: x for s, x in brute_targets(total).items() if x[0]})
+    placed = mixing.placings(own, Workspace(spark, "t")).collect()
+    line = sorted((r for r in placed if r.place is not None), key=lambda r: r.place)
+    assert [r.place for r in line] == list(range(len(want)))
+    assert line == sorted(line, key=lambda r: (r.position, r.doc_id, r.epoch)) and all(r.words == size[r.doc_id] for r in line)
+    assert [(r.doc_id, r.epoch, r.position) for r in line] == [(r.doc_id, r.epoch, r.position) for r in mixing.curriculum(own, Workspace(spark, "t"), placed=True).collect()]
+    assert sorted((r.doc_id, r.epoch) for r in line) == sorted(w[:2] for w in want)
+    key, ends = lambda r: (r._g, r._b, r._row), collections.defaultdict(list)
+    for r in line:
+        ends[key(r)].append(r)
+    made = sorted((x[0].doc_id, x[0].place, x[-1].place, x[0].position, x[-1].position, sum(r.words for r in x)) for x in ends.values())
+    out = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.first_place, r.last_place, r.first_position, r.last_position, r.taken) for r in out if r.taken) == made
+    rest = [r for r in out if not r.taken]
+    assert len(out) == len(rows) and all(r.first_place is r.last_place is r.last_position is None for r in rest) and {900, 901} <= {r.doc_id for r in rest}
+    assert all(r.size == size[r.doc_id] and r.taken == 0 for r in rest)
+
+
 def test_order_of_taking_does_not_change_with_the_number_of_buckets(spark, docs):
     few, many = (mixing.mix(docs, Workspace(spark, "t"), per_bucket=n).select("doc_id", "times", "_mid").collect() for n in (10_000, 1))
     assert sorted(few) == sorted(many)

@@ -53,6 +53,11 @@ def source_key(source: Column) -> Column:
     return F.concat(F.when(source.isNull(), "n").otherwise("s"), F.coalesce(source.cast("string"), F.lit("")))
 
 
+def words_of(text: Column) -> Column:
+    """The number of words in a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 @dataclass
 class Mix:
     """What ``plan`` found: where each bucket of a source begins, and one document a source that evens it out."""
@@ -67,8 +72,7 @@ class Mix:
     def keyed(self, docs: DataFrame, *more: Column) -> DataFrame:
         """doc_id, source, size, and the keys _g (source), _h (hash of id and text), _b (its first bits)."""
         doc_id, text, source = (F.col(self.names[c]) for c in ("doc_id", "text", "source"))
-        size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-        return docs.select(doc_id.alias("doc_id"), source.alias("source"), size, source_key(source).alias("_g"), F.xxhash64(doc_id, text).alias("_h"), *more)
+        return docs.select(doc_id.alias("doc_id"), source.alias("source"), words_of(text).alias("size"), source_key(source).alias("_g"), F.xxhash64(doc_id, text).alias("_h"), *more)
 
     def place(self, rows: DataFrame, *ties: str) -> DataFrame:
         """Rows of ``keyed`` with _row, _mid, times, target, source_size and _curve."""
@@ -165,18 +169,48 @@ def positions(mixed: DataFrame, untaken: bool = False) -> DataFrame:
     return x.withColumn("position", F.when(F.col("epoch").isNotNull(), F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))))
 
 
-def curriculum(docs: DataFrame, ws: Workspace, *, placed: bool = False, **how) -> DataFrame:
-    """The documents in training order: every column of ``docs``, repeated as often as taken.
+def takings(docs: DataFrame, ws: Workspace, untaken: bool = False, **how) -> DataFrame:
+    """Each taking in training order: doc_id, size, source_size, target, position, epoch, and its row of ``docs`` as _docs.
 
     Rows are range-partitioned and sorted by training position; ties go by id, epoch and a hash of the
-    row. With ``placed``, columns position and epoch follow (and replace any of their name). Documents
-    that are not taken are left out; repeated rows are taken each for itself; columns may have any name.
+    row. _g, _b and _row number a source's rows. With ``untaken``, documents that are not taken follow
+    after the last, once each and without their row (_docs is null).
     Texts are shuffled by source and bucket and then by position, and joined with nothing but a row a bucket.
     """
     found, _ = plan(docs, ws, **how)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs")
     rows = found.keyed(docs, row).withColumn("_tie", F.xxhash64("_docs"))
-    x = positions(found.place(rows, "_tie")).select("position", "doc_id", "epoch", "_tie", "_docs")
-    x = x.repartitionByRange("position", "doc_id", "epoch", "_tie").sortWithinPartitions("position", "doc_id", "epoch", "_tie")
+    x, place = positions(found.place(rows, "_tie"), untaken), F.col("position")
+    if untaken:
+        x, place = x.withColumn("_docs", F.when(F.col("position").isNotNull(), F.col("_docs"))), place.asc_nulls_last()
+    x = x.select("position", "doc_id", "epoch", "_tie", "_docs", "_g", "_b", "_row", "size", "source_size", "target")
+    return x.repartitionByRange(place, "doc_id", "epoch", "_tie").sortWithinPartitions(place, "doc_id", "epoch", "_tie")
+
+
+def curriculum(docs: DataFrame, ws: Workspace, *, placed: bool = False, **how) -> DataFrame:
+    """The documents in training order (see ``takings``): every column of ``docs``, repeated as often as taken.
+
+    With ``placed``, columns position and epoch follow (and replace any of their name). Documents that
+    are not taken are left out; repeated rows are taken each for itself; columns may have any name.
+    """
+    x = takings(docs, ws, **how)
     extra = ["position", "epoch"] if placed else []
     return x.select(*[F.col(f"_docs.`{c}`") for c in docs.columns if c.lower() not in extra], *extra)
+
+
+def placings(docs: DataFrame, ws: Workspace, *, text: str = "text", **how) -> DataFrame:
+    """The takings as ``curriculum`` has them in order, written, each with its ``place`` there, from 0.
+
+    ``words`` counts the words of the text that stands at the place; _g, _b, _row, doc_id, size,
+    source_size, target, position and epoch are those of ``takings``. Documents that are not taken have
+    one row with null place, position and epoch and no words. Places are the lines of the sorted
+    partitions, counted on from one to the next by a row a partition.
+    """
+    x = takings(docs, ws, untaken=True, text=text, **how)
+    kept = ["_g", "_b", "_row", "doc_id", "size", "source_size", "target", "position", "epoch"]
+    x = ws.save(x.select(*kept, words_of(F.col(f"_docs.`{text}`")).alias("words"), F.monotonically_increasing_id().alias("_line")), "training_order")
+    x = x.withColumns({"_part": F.shiftright("_line", 33), "_line": F.col("_line").bitwiseAND(2**33 - 1)})
+    starts = x.groupBy("_part").count()  # a row a partition
+    starts = starts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.when(F.col("position").isNotNull(), F.col("_start") + F.col("_line"))
+    return x.join(F.broadcast(starts), "_part").select(*kept, "words", place.alias("place"))

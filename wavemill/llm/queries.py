@@ -38,11 +38,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Workspace(spark, "op4"))
-    taken = F.coalesce(F.sum(F.when(F.col("position").isNotNull(), F.col("size"))), F.lit(0)).alias("taken")
+    placed = mixing.placings(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Workspace(spark, "op4"))
     same = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
-    rows = mixing.positions(mixed, untaken=True).groupBy("_g", "_b", "_row").agg(*same, taken, F.min("position").alias("first_position"), F.max("position").alias("last_position"))
-    return rows.drop("_g", "_b", "_row")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("position", "place") for name, f in (("first", F.min), ("last", F.max))]
+    return placed.groupBy("_g", "_b", "_row").agg(*same, F.sum("words").alias("taken"), *ends).drop("_g", "_b", "_row")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
