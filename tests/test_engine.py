@@ -228,6 +228,18 @@ def test_reports_runs_and_sinks(spark, tmp_path):
     assert files == ["name\tf1\na\t1.5\n"] * 2
 
 
+def test_budget_reached_exactly(spark):
+    from wavemill.operators import telemetry
+
+    # added as doubles one after the other, 100 times 0.03 is 2.999999999999995, and 30 times 0.1 is 3.0000000000000013
+    rows = [("a", i, 0.03) for i in range(11 + 110)] + [("b", i, 0.1) for i in range(11 + 40)] + [("c", i, float("nan") if i == 13 else 0.5) for i in range(20)] + [("d", i, 1e25 if i == 12 else 0.5) for i in range(20)]
+    timed = telemetry.running_time(spark.createDataFrame(rows, "run string, step long, dt double"), series=["run"])
+    made = telemetry.until_budget(timed, 3.0, series=["run"])
+    assert {r.run: r["count"] for r in made.groupBy("run").count().collect()} == {"a": 11 + 100, "b": 11 + 30, "c": 14, "d": 13}
+    last = {r.run: r.elapsed for r in made.where("step = (case run when 'a' then 110 when 'b' then 40 when 'd' then 12 end)").collect()}
+    assert last == {"a": 3.0, "b": 3.0, "d": 1e25}
+
+
 def test_chart_frames(spark):
     from wavemill.operators.experiments import Log
 

@@ -25,9 +25,16 @@ def weight_decay(progress: Column, start: float) -> Column:
 
 
 def running_time(log: DataFrame, order: str = "step", dt: str = "dt", skip: int = 10, series: Sequence[str] = ()) -> DataFrame:
-    """``elapsed``: time so far without the first steps, up to and with number ``skip``."""
+    """``elapsed``: time so far without the first steps, up to and with number ``skip``.
+
+    Times are added as decimals, so that times that make a budget exactly are not a rounding error short
+    of it; where one is no decimal of 18 places (NaN, infinite, 1e20), as doubles.
+    """
     w = Window.partitionBy(*series).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("elapsed", F.sum(F.when(F.col(order) > skip, F.col(dt)).otherwise(0.0)).over(w))
+    t = F.when(F.col(order) > skip, F.col(dt)).otherwise(0.0)
+    exact = t.try_cast("decimal(38,18)")
+    odd = F.count_if(t.isNotNull() & exact.isNull()).over(w)
+    return log.withColumn("elapsed", F.coalesce(F.when(odd == 0, F.try_sum(exact).over(w).cast("double")), F.sum(t).over(w)))
 
 
 def ema(values: Column, beta: float = 0.9) -> Column:
