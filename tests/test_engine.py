@@ -240,6 +240,15 @@ def test_budget_reached_exactly(spark):
     assert last == {"a": 3.0, "b": 3.0, "d": 1e25}
 
 
+def test_summary_of_a_run_that_ends_on_its_budget(spark, tmp_path):
+    from wavemill.plans import catalog
+
+    rows = [(i, 7, 0.6) for i in range(11 + 2510)]  # 2500 times 0.6 added as doubles is 1499.9999999999552
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["run_summary"](spark, str(tmp_path)).collect()
+    assert [tuple(r)[:4] for r in got] == [(7, 2511, 1500.0, 2511 * 524288)]
+
+
 def test_chart_frames(spark):
     from wavemill.operators.experiments import Log
 
