@@ -249,6 +249,37 @@ def test_summary_of_a_run_that_ends_on_its_budget(spark, tmp_path):
     assert [tuple(r)[:4] for r in got] == [(7, 2511, 1500.0, 2511 * 524288)]
 
 
+def test_suppression_of_long_series(spark, monkeypatch):
+    from threading import Timer
+
+    from wavemill.operators import curves
+
+    rng = np.random.default_rng(8)
+    rows = [(k, int(n), float(rng.integers(0, 6))) for k in "abc" for n in np.cumsum(rng.integers(1, 9, 400))]
+    rows += [("up", n, float(n)) for n in range(0, 900, 3)]  # one stretch, in which each peak but the last has a higher one near
+    want = set()
+    for k in ("a", "b", "c", "up"):
+        kept = []
+        for _, n, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1])):
+            if all(abs(n - m) >= 7 for m in kept):
+                kept.append(n)
+        want |= {(k, n) for n in kept}
+    peaks = spark.createDataFrame(rows, "ch string, n int, y double").repartition(5)
+    for samples in (1, 100, 1 << 18):  # of one stretch and of many
+        monkeypatch.setattr(curves, "STRETCHES", samples)
+        got = curves.suppressed(peaks, ["ch"], 7, x="y")
+        assert got.dtypes == [("ch", "string"), ("n", "int")] and {tuple(r) for r in got.collect()} == want
+    # every third of 1,200,000 peaks stays, and the first, which none is too near: far from done in this time if each is held against all that stay
+    x = spark.range(1200000).selectExpr("'a' as ch", "int(id * 10) as n", "double(id % 3) as x")
+    late = Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        r = curves.suppressed(x, ["ch"], 20).selectExpr("count(*) as n", "count_if(n % 30 = 20) as third", "min(n) as first").first()
+    finally:
+        late.cancel()
+    assert tuple(r) == (400001, 400000, 0)
+
+
 def test_chart_frames(spark):
     from wavemill.operators.experiments import Log
 

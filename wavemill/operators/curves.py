@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import decibel
 
+STRETCHES = 1 << 18
+
 
 def over(keys: list[str], n: str = "n"):
     return Window.partitionBy(*keys).orderBy(n)
@@ -78,11 +80,24 @@ def local_maxima(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
 
 
 def suppressed(peaks: DataFrame, keys: list[str], distance: int, x: str = "x") -> DataFrame:
-    """keys, n of peaks with no higher kept peak nearer than ``distance``; equal heights go by index."""
-    item = F.struct((-F.col(x)).alias("h"), F.col("n").alias("n"))
-    fold = lambda a, z: F.when(F.exists(a, lambda k: F.abs(k - z["n"]) < distance), a).otherwise(F.concat(a, F.array(z["n"])))
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast("array<int>"), fold)
-    return peaks.groupBy(*keys).agg(kept.alias("k")).select(*keys, F.explode("k").alias("n"))
+    """keys, n of peaks with no higher kept peak nearer than ``distance``; equal heights go by index.
+
+    A gap of ``distance`` or more cuts a series into stretches that do not touch one another. Those that
+    start in the same ``STRETCHES`` samples are one group; only a stretch without a gap is a group of any size.
+    """
+    from ..functions.kernels import apart
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("n")
+        return p.loc[apart(p["n"].to_numpy(), p["x"].to_numpy(np.float64), distance), [*keys, "n"]]
+
+    w = over(keys)
+    back = F.col("n") - F.lag("n").over(w)
+    cut = peaks.select(*keys, "n", F.col(x).alias("x")).withColumn("_start", F.when(back.isNull() | (back >= distance), F.col("n")))
+    start = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    cut = cut.withColumn("_group", F.floor(start / STRETCHES)).drop("_start")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields if f.name in (*keys, "n"))
+    return cut.groupBy(*keys, "_group").applyInPandas(run, kinds)
 
 
 def prominences(df: DataFrame, peaks: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
